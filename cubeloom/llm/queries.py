@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import line_dedup as lines
-from . import minhash, mixing, packing, quality, secret_scan, toxicity
+from . import minhash, mixing, packing, quality, secret_scan, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduced.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -46,7 +51,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op6_quality, op7_toxicity, op8_minhash_dedup, op9_packing, op10_mixing)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op5_exact_topk, op6_quality, op7_toxicity, op8_minhash_dedup, op9_packing, op10_mixing)}
 
 
 _LINES_SQL = r"""
@@ -108,5 +113,23 @@ FROM placed
 """
 
 
+_TOPK_SQL = """
+WITH parts AS (
+  SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings
+), sound AS (
+  SELECT vec_id FROM parts GROUP BY vec_id HAVING bool_and(x IS NOT NULL AND isfinite(x))
+), ints AS (
+  SELECT vec_id, i, CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) AS x FROM parts SEMI JOIN sound USING (vec_id)
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+  FROM ints q JOIN ints c ON q.i = c.i AND q.vec_id <> c.vec_id
+  WHERE q.vec_id % 20 = 0 GROUP BY ALL
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": _LINES_SQL, "op10_mixing": _MIX_SQL}
+    return {"op2_line_dedup": _LINES_SQL, "op5_exact_topk": _TOPK_SQL, "op10_mixing": _MIX_SQL}
