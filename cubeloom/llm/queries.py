@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import line_dedup as lines
-from . import embedding_dedup, minhash, mixing, packing, quality, secret_scan, topk, toxicity
+from . import embedding_dedup, minhash, mixing, packing, quality, secret_scan, staging, token_counts, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,18 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+#: Vocabulary that token counts use, beside blank-separated words.
+BPE_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizers = [token_counts.Tokenizer("words-1"), token_counts.Tokenizer.from_file("byte-bpe-50k-1", BPE_FILE)]
+    counts = token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizers)
+    totals = token_counts.TokenTotals(spark, staging.new_path(spark, "token-totals"))
+    totals.apply("documents", token_counts.inserts(counts))
+    return totals.totals()
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"))
@@ -55,7 +67,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_embedding_dedup, op5_exact_topk, op6_quality, op7_toxicity, op8_minhash_dedup, op9_packing, op10_mixing)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_embedding_dedup, op4_token_counts, op5_exact_topk, op6_quality, op7_toxicity, op8_minhash_dedup, op9_packing, op10_mixing)}
 
 
 _LINES_SQL = r"""
