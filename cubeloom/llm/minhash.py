@@ -326,3 +326,17 @@ def _result(drawn: DataFrame, classes: DataFrame, labels: DataFrame | None, id_c
     return per_row.select(
         F.col("id").cast(kind).alias(id_col), "n_shingles", component.cast(kind).alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept")
     )
+
+
+def keep_one(docs: DataFrame, result: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps; of rows that repeat an id, the one with the smallest text."""
+    kept = result.where(F.col("kept") & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_kept_id")).agg(F.count("*").alias("_rows"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
+    kept = stage(kept.select(F.struct("_kept_id", "_rows").alias("k")), "kept")
+    joined = rows.join(kept.hint("shuffle_hash"), F.col(f"d.`{id_col}`") == F.col("k._kept_id"))
+    once, again = joined.where("k._rows = 1").select("d.*"), joined.where("k._rows > 1")
+    out = once.unionByName(rows.where(F.col(f"d.`{id_col}`").isNull()).select("d.*"))
+    if kept.where("k._rows > 1").limit(1).count():
+        order = F.struct(F.coalesce(F.col(f"d.`{text_col}`"), F.lit("")), F.to_json("d"))
+        out = out.unionByName(again.groupBy("k._kept_id").agg(F.min_by("d", order).alias("d")).select("d.*"))
+    return out

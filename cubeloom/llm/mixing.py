@@ -14,7 +14,9 @@ a source with a third of all rows is spread over many tasks.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -123,12 +125,35 @@ def mix(
     return joined.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
 
 
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
 def first_words(text: bytes, n: int) -> bytes:
-    """The text up to the end of its ``n``-th word."""
-    at = 0
-    for _ in range(n):
-        while at < len(text) and text[at : at + 1].isspace():
-            at += 1
-        while at < len(text) and not text[at : at + 1].isspace():
-            at += 1
-    return text[:at]
+    """The text up to the end of its ``n``-th word; all of it if it has fewer."""
+    if n <= 0:
+        return b""
+    last = next(islice(_WORD.finditer(text), n - 1, None), None)
+    return text if last is None else text[: last.end()]
+
+
+def draw(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` as ``mixed`` takes them: a row per whole pass, and one cut to the words that still fit.
+
+    Ids must not repeat in ``docs``; rows with a null id can't be told apart and
+    are not drawn. Documents of which nothing is taken go.
+    """
+    own = docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("d"))
+    whole = F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)))
+    plan = mixed.where(F.col("taken") > 0).select(F.struct(F.col(id_col).alias("id"), whole.cast("int").alias("whole"), (F.col("taken") - whole * F.col("size")).alias("rest")).alias("m"))
+    joined = rows.join(plan.hint("shuffle_hash"), F.col(f"d.`{id_col}`") == F.col("m.id"))
+    passes = F.when(F.col("m.whole") > 0, F.array_repeat(F.lit(0).cast("long"), F.col("m.whole"))).otherwise(F.array().cast("array<long>"))
+    last = F.when(F.col("m.rest") > 0, F.array(F.col("m.rest"))).otherwise(F.array().cast("array<long>"))
+    each = joined.select("d", F.explode(F.concat(passes, last)).alias("cut"))
+
+    @F.pandas_udf("string")
+    def reduced(texts, cuts):
+        return texts.combine(cuts, lambda t, n: None if t is None else first_words(t.encode(), int(n)).decode())
+
+    text = F.when(F.col("cut") > 0, reduced(F.when(F.col("cut") > 0, F.col(f"d.`{text_col}`")), F.col("cut"))).otherwise(F.col(f"d.`{text_col}`"))
+    return each.select(*[(text if c == text_col else F.col(f"d.`{c}`")).alias(c) for c in own])

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
 _staged: dict[str, list[str]] = {}
+_begun: dict[str, int] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,8 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="cubeloom-"))
 
 
+def unique() -> str:
+    return uuid.uuid4().hex[:12]
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{unique()}"
     _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 
@@ -40,10 +45,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def begin(spark: SparkSession) -> None:
+    """From here on, ``clear`` may delete what is staged."""
+    app = spark.sparkContext.applicationId
+    _begun[app] = len(_staged.setdefault(app, []))
+
+
 def clear(spark: SparkSession) -> None:
-    """Delete everything staged so far. Call it only when no result read from it is still to be computed."""
+    """Delete what was staged since ``begin``. Call it only when no result read from that is still to be computed."""
     sc = spark.sparkContext
-    hadoop_path = sc._jvm.org.apache.hadoop.fs.Path
-    for path in _staged.pop(sc.applicationId, []):
+    paths, hadoop_path = _staged.get(sc.applicationId, []), sc._jvm.org.apache.hadoop.fs.Path
+    since = _begun.get(sc.applicationId, len(paths))
+    for path in paths[since:]:
         p = hadoop_path(path)
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+    del paths[since:]
