@@ -8,14 +8,16 @@
    Jaccard similarity with concentration bounds.
 2. Documents with equal sets are one class, found by a 128-bit hash of the set.
 3. Sketches of the classes are cut into bands. Classes that share a band meet
-   in a bucket. A bucket is never expanded into pairs at first: all members are
-   compared with one pivot, the smallest id. Members that the pivot proves to be
-   in one component need no more comparisons. Buckets that still hold several
-   components get further pivots, and what is left after those is compared pair
-   by pair, in blocks, on the sketches.
+   in a bucket. A bucket is never expanded into pairs: all members are compared
+   with one pivot, the one that shares most bands with others. Members that the
+   pivot proves to be in one component need no more comparisons. Buckets that
+   still hold several components get further pivots.
 4. Candidates whose sketches don't rule out the threshold are confirmed on the
    full shingle sets, rebuilt from the whole texts; a pivot's followers are dealt
    to tasks in portions.
+   What pivots leave open is compared block against block: first the sketches
+   say which members have a possible partner in another component, then these
+   members' texts meet and only links that join components leave the task.
 5. Components of the confirmed links are found with distributed star steps.
 """
 
@@ -186,39 +188,98 @@ def _near(t: int, least: float):
     return near
 
 
-def _block_pairs(t: int, least: float):
-    """Cross-component pairs of two blocks of one bucket whose sketches agree enough."""
+class _Block:
+    """Rows of one pair of blocks of a bucket, gathered from a sorted stream."""
+
+    def __init__(self, key: tuple) -> None:
+        self.key, self.rows = key, []
+
+    def pairs(self, t: int, least: float, rank: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Possible partners across components for each row: agreeing enough, and meeting first in this band."""
+        rows = self.rows
+        side, comp = np.array([r["side"] for r in rows]), np.array([r["comp"] for r in rows], dtype=np.int64)
+        coords = np.frombuffer(b"".join(r["coords"] for r in rows), dtype=np.uint8).reshape(len(rows), t)
+        bands = np.array([r["bands"] for r in rows], dtype=np.int64)
+        right = np.flatnonzero(side != 1)
+        own = self.key[1] == self.key[2]
+        for i in np.flatnonzero(side != 2):
+            others = right[(right > i) if own else slice(None)]
+            others = others[comp[others] != comp[i]]
+            others = others[(coords[others] == coords[i]).mean(axis=1) >= least]
+            if rank:
+                others = others[~(bands[others, :rank] == bands[i, :rank]).any(axis=1)]
+            if len(others):
+                yield i, others
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
+    block = None
+    for batch in batches:
+        for r in batch.to_pylist():
+            key = (r["band"], r["b1"], r["b2"])
+            if block is None or block.key != key:
+                if block is not None:
+                    yield block
+                block = _Block(key)
+            block.rows.append(r)
+    if block is not None:
+        yield block
+
+
+def _rank(block: _Block) -> int:
+    """The number of the band that the bucket belongs to."""
+    return next(r["bands"].index(block.key[0]) for r in block.rows if block.key[0] in r["bands"])
+
+
+def _possible(t: int, least: float):
+    """Members of a block pair that have a possible partner in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, ids, comps, sketches, sides = None, [], [], [], []
+        for block in _blocks(batches):
+            live = np.zeros(len(block.rows), dtype=bool)
+            for i, others in block.pairs(t, least, _rank(block)):
+                live[i] = True
+                live[others] = True
+            reps = [block.rows[i]["rep"] for i in np.flatnonzero(live)]
+            n = len(reps)
+            columns = [pa.array([v] * n, k) for v, k in zip(block.key, (pa.int64(), pa.int32(), pa.int32()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(reps, pa.int64())], names=["band", "b1", "b2", "rep"])
 
-        def pairs() -> pa.RecordBatch:
-            us, vs = [], []
-            side = np.array(sides)
-            own, comp = np.array(ids, dtype=np.int64), np.array(comps, dtype=np.int64)
-            m = np.frombuffer(b"".join(sketches), dtype=np.uint8).reshape(len(own), t)
-            left = np.flatnonzero(side != 2)
-            right = np.flatnonzero(side != 1)
-            for i in left:
-                hits = right[(comp[right] != comp[i]) & ((m[right] == m[i]).mean(axis=1) >= least)]
-                if group[1] == group[2]:
-                    hits = hits[hits > i]
-                us.extend(own[hits].tolist())
-                vs.extend([int(own[i])] * len(hits))
-            return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+    return run
 
-        for batch in batches:
-            for *key, own, comp, coords, side in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if group != tuple(key):
-                    if ids:
-                        yield pairs()
-                    group, ids, comps, sketches, sides = tuple(key), [], [], [], []
-                ids.append(own)
-                comps.append(comp)
-                sketches.append(coords)
-                sides.append(side)
-        if ids:
-            yield pairs()
+
+def _joining(t: int, least: float, words: int, percent: int):
+    """Links of a block pair that join components, confirmed on full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHashes()
+        for block in _blocks(batches):
+            sets: dict[int, np.ndarray] = {}
+            parent: dict[int, int] = {}
+
+            def root(c: int) -> int:
+                while parent.get(c, c) != c:
+                    c = parent[c]
+                return c
+
+            us, vs = [], []
+            rows = block.rows
+            for r in rows:
+                r["comp"] = int(r["comp"])
+            for i, others in block.pairs(t, least, _rank(block)):
+                for j in others.tolist():
+                    a, b = root(rows[i]["comp"]), root(rows[j]["comp"])
+                    if a == b:
+                        continue
+                    for k in (i, j):
+                        if k not in sets:
+                            sets[k] = shingle_set((rows[k]["text"] or "").encode(), words, hashes)
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                        parent[max(a, b)] = min(a, b)
+                        us.append(rows[i]["rep"])
+                        vs.append(rows[j]["rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
     return run
 
@@ -232,7 +293,7 @@ def near_duplicates(
     bands: int = 32,
     rows: int = 5,
     pivots: int = 3,
-    block: int = 512,
+    block: int = 256,
 ) -> DataFrame:
     """(id, n_shingles, component_id, kept), one row per row of ``docs``.
 
@@ -255,42 +316,39 @@ def near_duplicates(
     shared = members.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low != high")
     buckets = stage(members.join(shared.select("band"), "band").distinct(), "buckets")
     coords = classes.select("rep", "coords")
+    sizes = buckets.groupBy("band").agg(F.count("*").alias("size"))
+    # How many others a class meets, over all its bands: the centre of a group of copies meets most.
+    weights = stage(buckets.join(sizes, "band").groupBy("rep").agg(F.sum("size").alias("weight")), "weights")
+    buckets = stage(buckets.join(weights, "rep"), "buckets")
     links: DataFrame | None = None
     labels: DataFrame | None = None
     tried: DataFrame | None = None
+    pivoted: DataFrame | None = None
     near = _near(t, least)
-    for turn in range(pivots + 1):
-        if labels is None:
-            current = buckets.select("band", "rep", F.col("rep").alias("comp"))
-        else:
-            own = labels.select(F.col("node").alias("rep"), F.col("component").alias("known"))
-            current = buckets.join(own, "rep", "left").select("band", "rep", F.coalesce("known", "rep").alias("comp"))
-        # A bucket in one component is finished; of the others, pivots come from outside the smallest component if possible.
-        salt = F.xxhash64(F.col("rep"), F.lit(turn)) if turn else F.col("rep")
-        open_buckets = current.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size"), F.max(F.struct("comp", salt.alias("s"), F.col("rep").alias("rep")))["rep"].alias("late"), F.min("rep").alias("early"))
-        open_buckets = open_buckets.where("c0 != c1")
-        if turn < pivots:
-            chosen = open_buckets.select("band", F.col("late" if turn else "early").alias("v"))
-            pairs = current.join(chosen, "band").where("rep != v").select(F.col("rep").alias("u"), "v").distinct()
-            if labels is not None:
-                pairs = _cross_only(pairs, labels)
-        else:
-            pairs = _remaining_pairs(current, open_buckets, coords, t, least, block)
+    for _ in range(pivots):
+        current = _labelled(buckets, labels)
+        # A bucket in one component is finished.
+        open_buckets = current.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max(F.struct("comp", "weight", "rep"))["rep"].alias("late"), F.max(F.struct("weight", "rep"))["rep"].alias("central"))
+        chosen = stage(open_buckets.where("c0 != c1").select("band", F.col("central" if labels is None else "late").alias("v")), "pivots")
+        pivoted = chosen if pivoted is None else pivoted.unionByName(chosen)
+        pairs = current.join(chosen, "band").where("rep != v").select(F.col("rep").alias("u"), "v").distinct()
+        if labels is not None:
+            pairs = _cross_only(pairs, labels)
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
         pairs = stage(pairs, "pairs")
-        if pairs.limit(1).count() == 0:
-            if turn < pivots:
-                continue
+        if not pairs.limit(1).count():
             break
         tried = pairs if tried is None else tried.unionByName(pairs)
-        likely = pairs
-        if turn < pivots:
-            likely = pairs.join(coords.select(F.col("rep").alias("u"), F.col("coords").alias("cu")), "u").join(coords.select(F.col("rep").alias("v"), F.col("coords").alias("cv")), "v")
-            likely = stage(likely.where(near("cu", "cv")).select("u", "v").distinct(), "pairs-near")
+        likely = pairs.join(coords.select(F.col("rep").alias("u"), F.col("coords").alias("cu")), "u").join(coords.select(F.col("rep").alias("v"), F.col("coords").alias("cv")), "v")
+        likely = stage(likely.where(near("cu", "cv")).select("u", "v").distinct(), "pairs-near")
         confirmed = stage(confirm_links(texts, likely, words, percent), "links")
         links = confirmed if links is None else links.unionByName(confirmed)
         labels = stage(components(links), "labels")
+    if labels is not None:
+        rest = stage(_remaining_links(texts, _labelled(buckets, labels), pivoted, classes, t, least, block, words, percent), "links")
+        if rest.limit(1).count():
+            labels = stage(components(links.unionByName(rest)), "labels")
     return _result(drawn, classes, labels, id_col, kind)
 
 
@@ -300,19 +358,36 @@ def _cross_only(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(left, "u", "left").join(right, "v", "left").where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
 
 
-def _remaining_pairs(current: DataFrame, open_buckets: DataFrame, coords: DataFrame, t: int, least: float, block: int) -> DataFrame:
-    """Pairs across components in buckets that pivots left open, block against block."""
+def _labelled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return buckets.select("band", "rep", "weight", F.col("rep").alias("comp"))
+    own = labels.select(F.col("node").alias("rep"), F.col("component").alias("known"))
+    return buckets.join(own, "rep", "left").select("band", "rep", "weight", F.coalesce("known", "rep").alias("comp"))
+
+
+def _remaining_links(texts: DataFrame, current: DataFrame, pivoted: DataFrame, classes: DataFrame, t: int, least: float, block: int, words: int, percent: int) -> DataFrame:
+    """Links across components in buckets that pivots left open, block against block."""
+    open_buckets = current.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size")).where("c0 != c1")
     n = F.ceil(F.col("size") / block).cast("int")
-    rows = current.join(open_buckets.select("band", n.alias("blocks")), "band").join(coords, "rep")
+    # Pivots have been compared with the whole bucket.
+    tested = pivoted.select("band", F.col("v").alias("rep"), F.lit(True).alias("was")).distinct()
+    rows = current.join(open_buckets.select("band", n.alias("blocks")), "band").join(tested, ["band", "rep"], "left").where("was is null")
+    rows = rows.join(classes.select("rep", "coords", "bands"), "rep")
     mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     # Each row goes to every pair of blocks that has its own: on side 1, side 2, or 0 for a block with itself.
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = rows.select("band", "rep", "comp", "coords", mine.alias("mine"), others)
+    dealt = rows.select("band", "rep", "comp", "coords", "bands", mine.alias("mine"), others)
     side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
-    dealt = dealt.select("band", F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2"), "rep", "comp", "coords", side.alias("side"))
+    dealt = stage(dealt.select("band", F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2"), "rep", "comp", "coords", "bands", side.alias("side")), "blocks")
     parts = int(current.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grouped = dealt.repartition(parts, "band", "b1", "b2").sortWithinPartitions("band", "b1", "b2")
-    return grouped.mapInArrow(_block_pairs(t, least), "u long, v long").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+    def grouped(frame: DataFrame) -> DataFrame:
+        return frame.repartition(parts, "band", "b1", "b2").sortWithinPartitions("band", "b1", "b2")
+
+    possible = stage(grouped(dealt).mapInArrow(_possible(t, least), "band long, b1 int, b2 int, rep long"), "possible")
+    live = dealt.join(possible, ["band", "b1", "b2", "rep"], "left_semi")
+    with_text = texts.join(live.hint("shuffle_hash"), F.col("id") == F.col("rep")).drop("id")
+    return grouped(with_text).mapInArrow(_joining(t, least, words, percent), "u long, v long")
 
 
 def _result(drawn: DataFrame, classes: DataFrame, labels: DataFrame | None, id_col: str, kind: str) -> DataFrame:
