@@ -61,7 +61,7 @@ def running(df: DataFrame, group: str, order: list, value: str, parts: int | Non
     earlier = Window.partitionBy(group).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(group, "piece", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("sum"), F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("rows"))
     # Most pieces start a group and need no offset; only the others go through the join's table.
-    moved = stage(offsets.where("rows > 0"), "offsets").select(F.struct(group, "piece", "sum", "rows").alias("o"))
-    joined = pieces.join(moved, (F.col(group) == F.col(f"o.{group}")) & (F.col("piece") == F.col("o.piece")), "left")
-    add = {"before": "o.sum", "place": "o.rows"}
+    moved = stage(offsets.where("rows > 0"), "offsets").select(F.struct(group, "piece", "sum", "rows").alias("_offset"))
+    joined = pieces.join(moved, (F.col(group) == F.col(f"_offset.{group}")) & (F.col("piece") == F.col("_offset.piece")), "left")
+    add = {"before": "_offset.sum", "place": "_offset.rows"}
     return joined.select(*columns, *[(F.col(c) + F.coalesce(F.col(o), F.lit(0))).alias(c) for c, o in add.items()])
