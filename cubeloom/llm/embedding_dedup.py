@@ -233,7 +233,9 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     kind = vectors.schema[id_col].dataType.simpleString()
     label = F.col(label_col).cast("string")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), label.alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
-    rows = rows.select("id", "label", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), F.col("v")).alias("h2"))
+    # The hash passes over nulls, so vectors that hold some get none.
+    whole = ~F.exists("v", lambda x: x.isNull())
+    rows = rows.select("id", "label", "v", F.when(whole, F.xxhash64("v")).alias("h1"), F.when(whole, F.xxhash64(F.lit(1), F.col("v"))).alias("h2"))
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,7 +245,7 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
             column = pa.array(list(x), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([c.filter(keep) for c in (batch.column(0), column, batch.column(2), batch.column(3), batch.column(4))], names=["label", "x", "h1", "h2", "id"])
 
-    drawn = rows.where("id is not null and label is not null and v is not null").select("label", "v", "h1", "h2", "id").mapInArrow(units, "label string, x array<double>, h1 long, h2 long, id long")
+    drawn = rows.where("id is not null and label is not null and h1 is not null").select("label", "v", "h1", "h2", "id").mapInArrow(units, "label string, x array<double>, h1 long, h2 long, id long")
     classes = stage(drawn.groupBy("label", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("x").alias("x")), "vector-classes")
     shape = classes.agg(F.count("*").alias("n"), F.approx_count_distinct("label").alias("labels")).first()
     centroids = min(MOST_CENTROIDS, max(1, round(shape.n / max(1, shape.labels) / SHARD_ROWS)))
