@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .training import fold, labelled_sample
 
+PREFIXES = (4, 5, 6, 7)
 WORD = re.compile(r"[^\W\d_]+")
 #: Terms of a group are swapped with each other.
 IDENTITY_GROUPS: tuple[tuple[str, ...], ...] = (
@@ -47,7 +48,7 @@ IDENTITY_GROUPS: tuple[tuple[str, ...], ...] = (
 
 
 def word_features(word: str) -> list[str]:
-    return [f"w {word}", *[f"{n} {word[:n]}" for n in (4, 5, 6) if len(word) > n]]
+    return [f"w {word}", *[f"{n} {word[:n]}" for n in PREFIXES if len(word) > n]]
 
 
 def words_of(text: str | None) -> set[str]:
