@@ -16,6 +16,7 @@ never loses a tie. Memory per task: one group of blocks and one query block.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ from .vectors import pad, to_matrix
 
 #: Numbers in a block of candidates or queries, and the most rows of each.
 BLOCK_CELLS, BLOCK_ROWS, QUERY_ROWS = 1 << 18, 4096, 512
+#: Most blocks that seed the bounds; together they hold less than two full blocks.
+SEED_BLOCKS = 256
 #: Candidate blocks that one task holds together, about.
 GROUP = 4
 #: From this local cosine threshold on, coordinates prune better than lengths.
@@ -217,8 +220,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64
     by_length = candidates.withColumn("l", length).repartitionByRange(ranges, F.col("l").desc(), "id").drop("l")
     blocks = stage(by_length.mapInArrow(_pack(BLOCK_ROWS, scale), _BLOCK), "candidate-blocks")
     asked = stage(named(queries).repartition(max(1, parts // 4)).mapInArrow(_pack(QUERY_ROWS, scale), _BLOCK), "query-blocks")
-    # Two blocks of bounded size seed the bounds.
-    seeds = [(r.n, r.width, bytes(r.ids), bytes(r.cells)) for r in blocks.orderBy(F.col("longest").desc(), "block").limit(2).collect()]
+    # The blocks with the longest vectors, up to the numbers of one full block or a little more, seed the bounds.
+    heads = blocks.select("block", "n", "width").orderBy(F.col("longest").desc(), "block").limit(SEED_BLOCKS).collect()
+    before = [0, *accumulate(h.n * h.width for h in heads)]
+    chosen = [h.block for h, cells in zip(heads, before, strict=False) if cells < BLOCK_CELLS]
+    seeds = [(r.n, r.width, bytes(r.ids), bytes(r.cells)) for r in blocks.where(F.col("block").isin(chosen)).orderBy(F.col("longest").desc(), "block").collect()]
     bounded = stage(asked.mapInArrow(_bound(seeds, k), _BLOCK), "query-bounds")
     # A range of lengths is a team: its bounds are tight, and short ranges prune whole queries.
     side_a = blocks.withColumn("team", F.shiftright("block", 32).cast("int")).withColumn("role", F.lit(0))
