@@ -37,9 +37,9 @@ from .vectors import to_matrix
 FIT_ROWS, MOST_CENTROIDS = 8192, 1024
 #: Rows of a shard aimed at, and of a piece at most (in expectation).
 SHARD_ROWS, PIECE_ROWS = 1500, 2048
-MARGIN = 0.1
+MARGIN = 0.15
 NEAREST, RANDOM, DEGREE, ALPHA = 48, 8, 24, 1.2
-SLACK = 0.04
+SLACK, BEAM = 0.04, 0.02
 
 
 def unit(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,8 +115,8 @@ def medoids(x: np.ndarray, extra: int = 3) -> list[int]:
 def range_search(x: np.ndarray, adjacency: list[np.ndarray], queries: np.ndarray, starts: list[np.ndarray], least: float, slack: float = SLACK) -> Iterator[tuple[int, np.ndarray]]:
     """(query, nodes of cosine >= least) reached by range-expanding greedy search.
 
-    A visited node is expanded while it is the query's best so far or lies
-    within the range loosened by ``slack``.
+    A visited node is expanded while it is nearly the query's best so far or
+    lies within the range loosened by ``slack``.
     """
     sizes = np.array([len(a) for a in adjacency])
     offsets = np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(sizes) else np.zeros(0, int)
@@ -140,7 +140,7 @@ def range_search(x: np.ndarray, adjacency: list[np.ndarray], queries: np.ndarray
             s = np.concatenate([np.einsum("ij,ij->i", q[qs[i : i + 50_000]], x[ns[i : i + 50_000]]) for i in range(0, len(qs), 50_000)])
             sims[qs, ns] = s
             np.maximum.at(best, qs, s)
-            go = (s >= best[qs] - 1e-12) | (s >= least - slack)
+            go = (s >= best[qs] - BEAM) | (s >= least - slack)
             qs, ns = qs[go], ns[go]
             count = sizes[ns]
             inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
@@ -185,7 +185,8 @@ def _searcher(least: float):
         asks = nodes if same else np.flatnonzero(pdf["piece"].to_numpy() == second)
         place = {int(r): k for k, r in enumerate(reps[nodes])}
         united = [np.array(sorted(place[r] for r in map(int, near) if r in place), dtype=np.int64) for near in pdf["near"].iloc[nodes]]
-        entry = np.array(medoids(x[nodes]) if len(nodes) else [], dtype=np.int64)
+        # A query that isn't a node of the graph has no list to start from, so it gets more entries.
+        entry = np.array(medoids(x[nodes], 3 if same else 47) if len(nodes) else [], dtype=np.int64)
         starts = [np.append(entry, k) if same else entry for k in range(len(asks))]
         # A pair counts in the first shard both are in; membership bits over the shards of these rows.
         known = {c: k for k, c in enumerate(sorted({c for row in pdf["clusters"] for c in row if c < cluster}))}
