@@ -108,9 +108,14 @@ class Engine:
         key = p.key(d.time or d.tenant)
         rows = p.filtered(self.plan(d).frame())
         if from_ is not None:
-            rows = rows.where(key >= F.lit(from_))
+            rows = rows.where(self._from(d, p, from_))
         return rows.select(key.alias("slice")).distinct().orderBy(F.col("slice").asc_nulls_last())
 
+    @staticmethod
+    def _from(d: Definition, p: Projection, from_: Any):
+        late = p.key(d.time or d.tenant) >= F.lit(from_)
+        return late & p.around(first=from_) if d.temporal else late
+
     def backfill(self, rollup: AnyRollup, from_: Any = None, pause: float = 0.0, on_slice: Callable[[Any, int, int], None] | None = None) -> int:
         """Build from history; returns the number of slices rebuilt.
 
@@ -134,8 +139,7 @@ class Engine:
             count = wanted.count()
             name = (d.time or d.tenant).name
             kept = store.read(base).alias("s").join(wanted, F.col(f"s.{name}") == F.col("slice"), "left_anti")
-            key = self.projection(d).key(d.time or d.tenant)
-            fresh = self.projection(d).aggregated(self.plan(d).frame().where(key >= F.lit(from_)))
+            fresh = self.projection(d).aggregated(self.plan(d).frame().where(self._from(d, self.projection(d), from_)))
             # A partial build doesn't account for older changes elsewhere: the log offset stays.
             store.write(kept.unionByName(fresh), base, base.offset if base.built else START)
             wanted.unpersist()
@@ -263,7 +267,7 @@ class Engine:
         """Cells that differ from the source: keys, stored_*, expected_* and kind, in key order."""
         d = self._definition(rollup)
         stored = verification.scope(d, self.rows(d), tenant, between)
-        expected = verification.scope(d, self._recompute(d).source_rows(), tenant, between)
+        expected = verification.scope(d, self._recompute(d).source_rows(between), tenant, between)
         return verification.discrepancies(d, stored, expected).orderBy(*[F.col(k).asc_nulls_last() for k in d.keys])
 
     def verify(self, rollup: AnyRollup, tenant: Any = None, between: tuple | None = None, repair: bool = False) -> verification.Report:

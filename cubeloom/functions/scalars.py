@@ -17,12 +17,29 @@ def day_of(column: Column, data_type: T.DataType, time_zone: str) -> Column:
     if isinstance(data_type, T.DateType):
         return column
     if isinstance(data_type, T.TimestampNTZType):
+        if time_zone == "UTC":
+            return column.cast("date")
         return F.convert_timezone(F.lit("UTC"), F.lit(time_zone), column).cast("date")
     if isinstance(data_type, T.TimestampType):
         return F.convert_timezone(F.current_timezone(), F.lit(time_zone), column.cast("timestamp_ntz")).cast("date")
     raise CubeError(f"a day is cut from a date or timestamp, not from {data_type.simpleString()}")
 
 
+def around_days(column: Column, data_type: T.DataType, first: object = None, last: object = None) -> Column:
+    """A range on the raw column that holds all rows of the days from ``first`` to ``last``, in any time zone.
+
+    It may hold rows of the days next to them, but a scan can skip row groups by it.
+    """
+    slack = 0 if isinstance(data_type, T.DateType) else 1
+    kind = "date" if slack == 0 else data_type.simpleString()
+    out = F.lit(True)
+    if first is not None:
+        out = out & (column >= F.date_sub(F.lit(first).cast("date"), slack).cast(kind))
+    if last is not None:
+        out = out & (column <= F.date_add(F.lit(last).cast("date"), 2 * slack).cast(kind))
+    return out
+
+
 def coarsen(column: Column, unit: str) -> Column:
     """First day of the unit that holds a day."""
     if unit not in COARSER:

@@ -17,21 +17,22 @@ class Recompute:
     def __init__(self, plan: JoinPlan, projection: Projection, store: RollupStore, broadcast_cells: int) -> None:
         self.plan, self.projection, self.store, self.broadcast_cells = plan, projection, store, broadcast_cells
 
-    def source_rows(self) -> DataFrame:
-        """The whole rollup as the source has it now."""
-        return self.projection.aggregated(self.plan.frame())
+    def source_rows(self, between: tuple | None = None) -> DataFrame:
+        """The rollup as the source has it now; at least the days of ``between``, if given."""
+        joined = self.plan.frame()
+        if between is not None and self.projection.definition.temporal:
+            joined = joined.where(self.projection.around(*between))
+        return self.projection.aggregated(joined)
 
     def _within(self, bounds) -> Column | None:
         """Ranges that hold all cells, on columns a scan can skip by; a null cell admits nulls."""
         out = None
         for d in self.projection.definition.dimensions:
             kind = self.store.schema[d.name].dataType
-            if d.role == "time" and not isinstance(self.projection.catalog.field_at(self.projection.definition.fact.source, d.path).dataType, T.DateType):
-                continue
             if not isinstance(kind, _ORDERED) or bounds[f"lo_{d.name}"] is None:
                 continue
-            column = self.projection.column(d.path)
-            one = column.between(F.lit(bounds[f"lo_{d.name}"]), F.lit(bounds[f"hi_{d.name}"]))
+            column, low, high = self.projection.column(d.path), bounds[f"lo_{d.name}"], bounds[f"hi_{d.name}"]
+            one = self.projection.around(low, high) if d.role == "time" else column.between(F.lit(low), F.lit(high))
             if bounds[f"nulls_{d.name}"]:
                 one = one | column.isNull()
             out = one if out is None else out & one

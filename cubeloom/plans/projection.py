@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cubeloom.functions.scalars import day_of, to_type
+from cubeloom.functions.scalars import around_days, day_of, to_type
 from cubeloom.model.definition import Definition, Dimension, Measure
 from cubeloom.model.path import Path, alias_of
 from cubeloom.sources.catalog import Catalog
@@ -24,6 +24,11 @@ class Projection:
             return self.column(d.path)
         return day_of(self.column(d.path), self.catalog.field_at(self.definition.fact.source, d.path).dataType, self.time_zone)
 
+    def around(self, first: object = None, last: object = None) -> Column:
+        """A range on the time column as it is stored, wide enough for the days from ``first`` to ``last``."""
+        path = self.definition.time.path
+        return around_days(self.column(path), self.catalog.field_at(self.definition.fact.source, path).dataType, first, last)
+
     def keys(self) -> list[Column]:
         return [self.key(d).alias(d.name) for d in self.definition.dimensions]
 

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from cubeloom import BelongsTo, Catalog, Config, Engine, Rollup, Source, dimension, fact, measure, tenant, time
 from cubeloom.errors import AssociationError, CubeError, UnknownRollupError
-from cubeloom.functions.scalars import coarsen, day_of, divided, to_type
+from cubeloom.functions.scalars import around_days, coarsen, day_of, divided, to_type
 from cubeloom.streaming.capture import row_changes, watched_columns
 
 from .shop import CENTS, COFFEE, MUG, S1, CategoryCounts, Discounts, Shop, ShopMetrics
@@ -78,6 +78,16 @@ def test_day_of(spark):
         day_of(F.col("n"), T.StringType(), "UTC")
 
 
+@pytest.mark.parametrize("kind", [T.TimestampNTZType(), T.TimestampType(), T.DateType()])
+def test_ranges_hold_their_days_in_any_zone(spark, kind):
+    hours = spark.range(0, 24 * 6).select(F.expr(f"CAST(timestamp_ntz'2026-03-01 00:00:00' + make_interval(0, 0, 0, 0, CAST(id AS INT)) AS {kind.simpleString()})").alias("t"))
+    day = datetime.date(2026, 3, 3)
+    for zone in ("UTC", "Pacific/Kiritimati", "Pacific/Pago_Pago"):
+        inside = hours.where(day_of(F.col("t"), kind, zone) == F.lit(day))
+        assert inside.count() == inside.where(around_days(F.col("t"), kind, day, day)).count() > 0
+    assert hours.where(around_days(F.col("t"), kind, day, day)).count() < 24 * 5
+
+
 def test_scalars(spark):
     one = spark.sql("SELECT date'2026-08-19' AS d, 2.5D AS x, -2.5D AS y, 3 AS n, 0 AS z, CAST(null AS INT) AS e").select(
         *[coarsen(F.col("d"), u).alias(u) for u in ("day", "week", "month", "quarter", "year")],
