@@ -23,6 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +52,10 @@ def word_features(word: str) -> list[str]:
     return [f"w {word}", *[f"{n} {word[:n]}" for n in PREFIXES if len(word) > n]]
 
 
+def _hash(feature: str) -> int:
+    return xxhash.xxh3_64_intdigest(feature)
+
+
 def words_of(text: str | None) -> set[str]:
     """Distinct lower-case words; a doubled exclamation mark counts as one."""
     text = text or ""
@@ -104,20 +109,29 @@ def fit(samples: list[tuple[set[str], int]], groups=IDENTITY_GROUPS, features: i
     constant = Model({}, float(np.log(base / (1 - base))))
     if not len(y) or y.min() == y.max():
         return constant
-    counts: dict[str, list[int]] = {}
-    for words, label in samples:
-        for f in features_of(words):
-            counts.setdefault(f, [0, 0])[label] += 1
+    # Features are counted as hashes: the sample has far more of them than the model keeps.
+    held = [np.unique(np.fromiter((_hash(f) for w in words for f in word_features(w)), dtype=np.uint64)) for words, _ in samples]
+    hashes, where = np.unique(np.concatenate(held), return_inverse=True)
+    labels = np.repeat(y, [len(h) for h in held])
+    total, ones = np.bincount(where, minlength=len(hashes)), np.bincount(where, weights=labels, minlength=len(hashes))
+    del held, where, labels
     n1, n0 = y.sum(), len(y) - y.sum()
-    kept = [(f, c) for f, c in counts.items() if c[0] + c[1] >= 4 and max(c) >= 3]
-    del counts
-    a, b = (np.array([c[k] for _, c in kept], dtype=np.float64) + 0.5 for k in (1, 0))
+    kept = np.flatnonzero((total >= 4) & (np.maximum(ones, total - ones) >= 3))
+    a, b = ones[kept] + 0.5, (total - ones)[kept] + 0.5
     z = (np.log(a / (n1 + 1 - a)) - np.log(b / (n0 + 1 - b))) / np.sqrt(1 / a + 1 / b + 1 / (n1 + 1 - a) + 1 / (n0 + 1 - b))
-    ranked = sorted((i for i in range(len(kept)) if abs(z[i]) >= 3), key=lambda i: (-abs(z[i]), kept[i][0]))[:features]
+    order = np.lexsort((hashes[kept], -np.abs(z)))[:features]
+    best = hashes[kept[order[np.abs(z[order]) >= 3]]].tolist()
     # Terms that the swaps touch take part, so that the penalty sees them.
-    seen = {f for f, _ in kept}
-    named = [f for g in groups for w in g for f in word_features(w) if f in seen]
-    chosen = list(dict.fromkeys([kept[i][0] for i in ranked] + named))
+    seen = set(hashes[kept].tolist())
+    named = [f for g in groups for w in g for f in word_features(w) if _hash(f) in seen]
+    wanted, text_of, known = set(best), {}, set()
+    for words, _ in samples:
+        for w in words:
+            if w not in known:
+                known.add(w)
+                text_of.update((h, f) for f in word_features(w) if (h := _hash(f)) in wanted)
+    del known, seen
+    chosen = list(dict.fromkeys([text_of[h] for h in best] + named))
     if not chosen:
         return constant
     column = {f: k for k, f in enumerate(chosen)}
