@@ -176,7 +176,12 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "qu
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.7, folds: int = 4, held_out: int = 2) -> DataFrame:
-    """(id, held_out, score, predicted) for every row; ``held_out`` is false for null ids."""
+    """(id, held_out, score, predicted) for every row of ``docs``.
+
+    ``held_out`` is false for null ids. Rows that repeat an id are scored each;
+    equal texts get equal scores. Without labels of both kinds every text gets
+    the base rate. An empty table gives an empty result.
+    """
     model = train(docs, labels, folds=folds, held_out=held_out, id_col=id_col, text_col=text_col)
     scored = score(docs.select(F.col(id_col), F.col(text_col)), model, text_col, "score")
     return scored.select(id_col, F.coalesce(fold(id_col, folds) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))

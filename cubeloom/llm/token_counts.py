@@ -53,7 +53,12 @@ class Tokenizer:
 
 
 def count_tokens(docs: DataFrame, tokenizers: list[Tokenizer], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """(id, source, lang, tokenizer, tokens): a row per document and tokenizer; null and empty texts have 0 tokens."""
+    """(id, source, lang, tokenizer, tokens): a row per row of ``docs`` and tokenizer.
+
+    Null and empty texts have 0 tokens; texts are counted whole. Rows that
+    repeat an id, or have none, count each. Null sources and languages are
+    groups like others. An empty table gives an empty result.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(tokenizers)
     versions = [t.version for t in tokenizers]
 
