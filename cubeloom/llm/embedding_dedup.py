@@ -167,7 +167,7 @@ def _local_components(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.
         label = new
 
 
-def _build(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _build(key, pdf):
     pdf = pdf.sort_values("rep")
     x, reps = np.stack(pdf["x"].to_numpy()), pdf["rep"].to_numpy()
     lists = with_reverse(build_graph(x))
@@ -175,7 +175,7 @@ def _build(key, pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _searcher(least: float):
-    def search(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def search(key, pdf):
         cluster, first, second = key[1], key[2], key[3]
         pdf = pdf.sort_values(["piece", "rep"])
         same = first == second
