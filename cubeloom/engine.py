@@ -20,9 +20,10 @@ from cubeloom.plans.joins import JoinPlan
 from cubeloom.plans.projection import Projection
 from cubeloom.registry import Registry
 from cubeloom.sources.catalog import Catalog
-from cubeloom.sources.changelog import ChangeLog, log_schema
+from cubeloom.sources.changelog import ChangeLog
 from cubeloom.sources.store import START, RollupStore
 from cubeloom.streaming.capture import TablePolicy, capture_policy, row_changes
+from cubeloom.streaming.drain import drain_stream
 
 AnyRollup = type[Rollup] | Definition | str
 
@@ -128,7 +129,7 @@ class Engine:
         d = self._definition(rollup)
         store, recompute = self.store(d), self._recompute(d)
         offset = self._log_end()
-        base = store.version() if from_ is not None else self._version_or_stale(store)
+        base = store.version() if from_ is not None else store.replaceable()
         slices = self.slices(d, from_)
         if from_ is None:
             count = slices.count()
@@ -149,16 +150,6 @@ class Engine:
                 clock.sleep(pause)
         return count
 
-    @staticmethod
-    def _version_or_stale(store: RollupStore):
-        from cubeloom.errors import StaleSchemaError
-        from cubeloom.sources.store import Version
-
-        try:
-            return store.version()
-        except StaleSchemaError:
-            return Version(store._commits.latest()[0], {}, START, True)
-
     def recompute_cells(self, rollup: AnyRollup, cells: DataFrame) -> int:
         """Rebuild the given cells (columns: the keys); returns how many."""
         d = self._definition(rollup)
@@ -252,8 +243,6 @@ class Engine:
 
     def drain_stream(self, checkpoint: str, **trigger: Any):
         """A streaming query that drains as appends are committed; ``trigger`` as in writeStream.trigger."""
-        from cubeloom.streaming.drain import drain_stream
-
         return drain_stream(self, checkpoint, **trigger)
 
     def vacuum(self) -> dict[str, int]:
@@ -281,6 +270,3 @@ class Engine:
             return out
         finally:
             found.unpersist()
-
-
-__all__ = ["Engine", "log_schema"]

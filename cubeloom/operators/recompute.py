@@ -58,11 +58,11 @@ class Recompute:
             within = self._within(about)
             if within is not None:
                 joined = joined.where(within)
-            wanted = self.projection.filtered(joined).select("*", *[k.alias(f"_key_{d.name}") for k, d in zip((self.projection.key(d) for d in self.projection.definition.dimensions), self.projection.definition.dimensions, strict=True)])
+            named = [self.projection.key(d).alias(f"_key_{d.name}") for d in self.projection.definition.dimensions]
             on = F.lit(True)
             for k in keys:
                 on = on & F.col(f"_key_{k}").eqNullSafe(F.col(f"c.`{k}`"))
-            rows = wanted.join(small.alias("c"), on, "left_semi")
+            rows = self.projection.filtered(joined).select("*", *named).join(small.alias("c"), on, "left_semi")
             fresh = rows.groupBy(*[F.col(f"_key_{k}").alias(k) for k in keys]).agg(*[self.projection.aggregate(m) for m in self.projection.definition.measures])
             version = self.store.write(kept.unionByName(fresh.select(*self.store.schema.names)), base, offset, only=sorted(about["buckets"]))
             return version, about["n"]

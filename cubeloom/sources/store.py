@@ -48,6 +48,11 @@ class RollupStore:
                 raise StaleSchemaError(f"{self.folder} holds {stored.simpleString()}, declared is {self.schema.simpleString()}; backfill it anew")
         return Version(number, {int(k): v for k, v in entry.get("buckets", {}).items()}, tuple(entry.get("offset", START)), bool(entry))
 
+    def replaceable(self) -> Version:
+        """The version that a write of the whole table follows; its own schema doesn't matter."""
+        number, entry = self._commits.latest()
+        return Version(number, {}, tuple(entry.get("offset", START)), bool(entry))
+
     def bucket_of(self) -> Column:
         return F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in self.keys]), F.lit(self.buckets)).cast("int")
 
