@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import portions
 from .staging import stage
 
 #: Characters stripped from both ends of a line to make its key.
@@ -42,7 +43,7 @@ def line_occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int
     """(h1, h2, id, row_key, n_lines, positions): a row per document and distinct long key."""
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             h1, h2, ids, rows, counts, at = [], [], [], [], [], []
             for doc, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
                 lines = (text or b"").split(b"\n")

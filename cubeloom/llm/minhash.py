@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import portions
 from .components import components
 from .staging import stage
 
@@ -111,7 +112,7 @@ def _sketches(words: int, bands: int, rows: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
-        for batch in batches:
+        for batch in portions(batches):
             n, hi, lo, keys, coords = [], [], [], [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 elements = shingle_set(text or b"", words, hashes)
@@ -140,7 +141,7 @@ def _confirm(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         group, pivots = None, []
-        for batch in batches:
+        for batch in portions(batches):
             us, vs = [], []
             for pivot, part, role, own, text in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4).cast(pa.binary()).to_pylist(), strict=True):
                 if group != (pivot, part):
@@ -214,7 +215,7 @@ class _Block:
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
     block = None
-    for batch in batches:
+    for batch in portions(batches):
         for r in batch.to_pylist():
             key = (r["band"], r["b1"], r["b2"])
             if block is None or block.key != key:

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrow import portions
 from .ranks import running
 from .staging import stage
 
@@ -32,7 +33,7 @@ def measure(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> Dat
     """(id, source, size, letters, bytes): words (runs free of blanks) and letter bytes of every whole text."""
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             texts = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import portions
 from .ranks import running
 from .staging import stage
 
@@ -62,7 +63,7 @@ def word_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, length): words of every whole text, a word being a run free of blanks."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len((t or b"").split()) for t in texts], pa.int64())], names=["id", "length"])
 

@@ -17,12 +17,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .training import fold, labelled_sample
+from .arrow import portions
+from .training import fold, labelled_sample, scored_rows
 
 #: Words in a passage; the last one of a text may be shorter.
 PASSAGE_WORDS = 96
@@ -147,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
     """Fit on at most ``most`` labelled rows of each label outside fold ``held_out``."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             bags = [encode_passages(t).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(bags, pa.binary()), batch.column(2)], names=["d", "bag", "y"])
 
@@ -157,22 +157,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
     return fit(bags, np.array(rows.column("y").to_pylist(), dtype=np.float64), **options)
 
 
-def _score_udf(model: Model):
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([model.score(t) for t in texts], dtype="float64")
-
-    scored.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(scored, "double")
-
-
-def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "quality_score") -> DataFrame:
+def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "quality_score", keep: list[str] | None = None) -> DataFrame:
     """Every row of ``docs`` with the double column ``name``, 0 to 1; null and empty texts are one empty passage.
 
-    A column already called ``name`` is replaced; the others pass through and
-    are no part of the score.
+    A column already called ``name`` is replaced; the others, or those of
+    ``keep``, pass through and are no part of the score.
     """
-    return docs.withColumn(name, _score_udf(model)(F.col(text_col).cast("string")))
+    return scored_rows(docs, lambda: model.score, text_col, name, keep)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.7, folds: int = 4, held_out: int = 2) -> DataFrame:
@@ -183,5 +174,5 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     the base rate. An empty table gives an empty result.
     """
     model = train(docs, labels, folds=folds, held_out=held_out, id_col=id_col, text_col=text_col)
-    scored = score(docs.select(F.col(id_col), F.col(text_col)), model, text_col, "score")
+    scored = score(docs.select(F.col(id_col), F.col(text_col)), model, text_col, "score", [id_col])
     return scored.select(id_col, F.coalesce(fold(id_col, folds) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))

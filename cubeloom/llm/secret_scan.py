@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import portions
 from .automaton import Anchored, Automaton, compile_rules, match_ends
 
 
@@ -114,7 +115,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind_of = docs.schema[id_col].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 1000):
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             spans = scanner.scan(texts)
             flat = [s for row in spans for s in row]

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrow import portions
+
 #: Fixed value: the public split pattern of byte-level BPE vocabularies.
 BYTE_BPE_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A vocabulary file is read on the driver and sent to executors; larger ones are refused.
@@ -64,7 +66,7 @@ def count_tokens(docs: DataFrame, tokenizers: list[Tokenizer], id_col: str = "do
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = [t.counter() for t in sent.value]
-        for batch in batches:
+        for batch in portions(batches):
             texts = [t or "" for t in batch.column(3).to_pylist()]
             for version, counter in zip(versions, counters, strict=True):
                 yield pa.RecordBatch.from_arrays(

@@ -21,13 +21,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .training import fold, labelled_sample
+from .arrow import portions
+from .training import fold, labelled_sample, scored_rows
 
 PREFIXES = (4, 5, 6, 7)
 WORD = re.compile(r"[^\W\d_]+")
@@ -163,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     """Fit on at most ``most`` labelled rows of each label outside fold ``held_out``."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             texts = batch.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([sorted(words_of(t)) for t in texts], pa.list_(pa.string())), batch.column(2)], names=["d", "words", "y"])
 
@@ -177,25 +177,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     return fit(samples, **options)
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "toxicity") -> DataFrame:
+def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "toxicity", keep: list[str] | None = None) -> DataFrame:
     """Every row of ``docs`` with the double column ``name``, 0 to 1; null and empty texts get the base score.
 
-    A column already called ``name`` is replaced; other columns pass through
-    untouched and are no part of the score.
+    A column already called ``name`` is replaced; other columns, or those of
+    ``keep``, pass through untouched and are no part of the score.
     """
-
-    return docs.withColumn(name, _score_udf(model)(F.col(text_col).cast("string")))
-
-
-def _score_udf(model: Model):
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        run = model.scorer()
-        for texts in batches:
-            yield pd.Series([run(t) for t in texts], dtype="float64")
-
-    # The annotations are text here; the decorator needs the types to choose the iterator form.
-    scored.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(scored, "double")
+    return scored_rows(docs, model.scorer, text_col, name, keep)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.5, folds: int = 5, held_out: int = 0) -> DataFrame:
@@ -206,5 +194,5 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     the base rate. An empty table gives an empty result.
     """
     model = train(docs, labels, folds=folds, held_out=held_out, id_col=id_col, text_col=text_col)
-    scored = score(docs.select(F.col(id_col), F.col(text_col)), model, text_col, "score")
+    scored = score(docs.select(F.col(id_col), F.col(text_col)), model, text_col, "score", [id_col])
     return scored.select(id_col, F.coalesce(fold(id_col, folds) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .arrow import portions
 
 
 def fold(id_col: str, folds: int) -> Column:
@@ -22,3 +28,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     known = known.groupBy(F.col(id_col).alias("i")).agg(F.max(label).cast("int").alias("y"))
     chosen = [known.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(most) for y in (0, 1)]
     return docs.select(F.col(id_col).alias("d"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen[0].unionByName(chosen[1])), F.col("d") == F.col("i")).select("d", "text", "y")
+
+
+def scored_rows(docs: DataFrame, make: Callable[[], Callable[[str | None], float]], text_col: str, name: str, keep: list[str] | None) -> DataFrame:
+    """Columns ``keep`` (default: all) of every row, and the score that a function from ``make``, made once a task, gives its text."""
+    kept = [c for c in (docs.columns if keep is None else keep) if c != name]
+    shape = T.StructType([*(docs.schema[c] for c in kept), T.StructField(name, T.DoubleType())])
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run = make()
+        for batch in portions(batches):
+            scores = [run(t) for t in batch.column(len(kept)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(scores, pa.float64())], names=[*kept, name])
+
+    texts = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("string").alias("_text_to_score"))
+    return texts.mapInArrow(scored, shape)
