@@ -20,8 +20,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the classifier, fitted on the labels of ``sf_dir``, scores below 0.5."""
     staging.begin(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.col("text"))
-    return toxicity.score(own, model, "text", "score").where(F.col("score") < 0.5).select("d.*")
+    return toxicity.score(docs, model, "text", "_toxicity").where(F.col("_toxicity") < 0.5).drop("_toxicity")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
