@@ -17,7 +17,7 @@ at most ``features`` weights, and scoring streams whole texts without a shuffle.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -102,57 +102,71 @@ def _swaps(words: set[str], groups) -> list[set[str]]:
     return out
 
 
-def fit(samples: list[tuple[set[str], int]], groups=IDENTITY_GROUPS, features: int = 512, ridge: float = 0.3, fairness: float = 1.0) -> Model:
+def fit(samples: list[tuple[Collection[str], int]], groups=IDENTITY_GROUPS, features: int = 512, ridge: float = 0.3, fairness: float = 1.0) -> Model:
     """A model from (words, label) samples; without both labels, the constant base rate."""
     y = np.array([s[1] for s in samples], dtype=np.float64)
     base = (y.sum() + 0.5) / (len(y) + 1)
     constant = Model({}, float(np.log(base / (1 - base))))
     if not len(y) or y.min() == y.max():
         return constant
-    # Features are counted as hashes: the sample has far more of them than the model keeps.
-    held = [np.unique(np.fromiter((_hash(f) for w in words for f in word_features(w)), dtype=np.uint64)) for words, _ in samples]
-    hashes, where = np.unique(np.concatenate(held), return_inverse=True)
-    labels = np.repeat(y, [len(h) for h in held])
-    total, ones = np.bincount(where, minlength=len(hashes)), np.bincount(where, weights=labels, minlength=len(hashes))
-    del held, where, labels
+    # Features are counted as hashes, a label at a time: the sample has far more of them than the model keeps.
+    counted = []
+    for label in (0, 1):
+        held = [np.unique(np.fromiter((_hash(f) for w in words for f in word_features(w)), dtype=np.uint64)) for words, own in samples if own == label]
+        counted.append(np.unique(np.concatenate(held), return_counts=True))
+        del held
+    hashes = np.union1d(counted[0][0], counted[1][0])
+    zeros, ones = (np.zeros(len(hashes)) for _ in range(2))
+    for column, (own, n) in zip((zeros, ones), counted, strict=True):
+        column[np.searchsorted(hashes, own)] = n
+    del counted
     n1, n0 = y.sum(), len(y) - y.sum()
-    kept = np.flatnonzero((total >= 4) & (np.maximum(ones, total - ones) >= 3))
-    a, b = ones[kept] + 0.5, (total - ones)[kept] + 0.5
+    kept = np.flatnonzero((zeros + ones >= 4) & (np.maximum(zeros, ones) >= 3))
+    a, b = ones[kept] + 0.5, zeros[kept] + 0.5
     z = (np.log(a / (n1 + 1 - a)) - np.log(b / (n0 + 1 - b))) / np.sqrt(1 / a + 1 / b + 1 / (n1 + 1 - a) + 1 / (n0 + 1 - b))
     order = np.lexsort((hashes[kept], -np.abs(z)))[:features]
     best = hashes[kept[order[np.abs(z[order]) >= 3]]].tolist()
     # Terms that the swaps touch take part, so that the penalty sees them.
-    seen = set(hashes[kept].tolist())
-    named = [f for g in groups for w in g for f in word_features(w) if _hash(f) in seen]
+    named = [f for g in groups for w in g for f in word_features(w) if np.isin(np.uint64(_hash(f)), hashes[kept])]
     wanted, text_of, known = set(best), {}, set()
     for words, _ in samples:
         for w in words:
             if w not in known:
                 known.add(w)
                 text_of.update((h, f) for f in word_features(w) if (h := _hash(f)) in wanted)
-    del known, seen
+    del known, hashes
     chosen = list(dict.fromkeys([text_of[h] for h in best] + named))
     if not chosen:
         return constant
     column = {f: k for k, f in enumerate(chosen)}
 
     def row(words) -> np.ndarray:
-        x = np.zeros(len(chosen) + 1)
+        x = np.zeros(len(chosen) + 1, dtype=np.int8)
         x[-1] = 1
         for f in features_of(words):
             if f in column:
                 x[column[f]] = 1
         return x
 
-    x = np.array([row(w) for w, _ in samples])
-    changes = [row(w) - row(other) for w, _ in samples for other in _swaps(w, groups)]
-    d = np.array(changes) if changes else np.zeros((1, len(chosen) + 1))
-    hold = 2 * fairness * d.T @ d + 2 * ridge * np.diag(np.append(np.ones(len(chosen)), 0.0))
-    w = np.zeros(len(chosen) + 1)
+    x = np.empty((len(samples), len(chosen) + 1), dtype=np.int8)
+    penalty = np.zeros((x.shape[1], x.shape[1]))
+    for k, (words, _) in enumerate(samples):
+        x[k] = row(words)
+        for other in _swaps(set(words), groups):
+            d = (x[k] - row(other)).astype(np.float64)
+            at = np.flatnonzero(d)
+            penalty[np.ix_(at, at)] += np.outer(d[at], d[at])
+    hold = 2 * fairness * penalty + 2 * ridge * np.diag(np.append(np.ones(len(chosen)), 0.0))
+    w = np.zeros(x.shape[1])
     w[-1] = constant.bias
     for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + hold + 1e-8 * np.eye(len(w)), x.T @ (p - y) + hold @ w)
+        slope, bend = hold @ w, hold + 1e-8 * np.eye(len(w))
+        for at in range(0, len(x), 500):
+            part = x[at : at + 500].astype(np.float64)
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            slope += part.T @ (p - y[at : at + 500])
+            bend += (part * (p * (1 - p) + 1e-9)[:, None]).T @ part
+        step = np.linalg.solve(bend, slope)
         w -= step
         if np.abs(step).max() < 1e-4:
             break
@@ -168,12 +182,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([sorted(words_of(t)) for t in texts], pa.list_(pa.string())), batch.column(2)], names=["d", "words", "y"])
 
     sample = labelled_sample(docs, labels, label, folds, held_out, most, id_col, text_col)
-    rows = sample.mapInArrow(words, "d long, words array<string>, y int").toArrow().sort_by("d")
+    rows = sample.mapInArrow(words, "d long, words array<string>, y int").toArrow()
     names: dict[str, str] = {}
-    samples = []
-    for batch in rows.to_batches(max_chunksize=500):
-        for own, y in zip(batch.column("words").to_pylist(), batch.column("y").to_pylist(), strict=True):
-            samples.append(({names.setdefault(w, w) for w in own}, y))
+    found = []
+    for batch in rows.to_batches(max_chunksize=200):
+        for d, own, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found.append((d, tuple(names.setdefault(w, w) for w in own), y))
+    del rows
+    samples = [(own, y) for _, own, y in sorted(found)]
+    del found, names
     return fit(samples, **options)
 
 
