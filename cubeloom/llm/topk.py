@@ -133,9 +133,11 @@ class TopK:
             if deepest:
                 self.verified += deepest * len(by_length)
                 scores = exact_products(self.q[by_length], p[:deepest])
-                if deepest > self.k + 1:
-                    # Only scores that can be among a query's best are sorted; one more stands in for the query itself.
-                    cut = np.partition(scores, deepest - self.k - 1, axis=1)[:, deepest - self.k - 1]
+                # Rows with the query's own id, however many, must not push others out of its best.
+                scores[ids[None, :deepest] == self.ids[by_length][:, None]] = np.iinfo(np.int64).min
+                if deepest > self.k:
+                    # Only scores that can be among a query's best are sorted.
+                    cut = np.partition(scores, deepest - self.k, axis=1)[:, deepest - self.k]
                 else:
                     cut = np.full(len(by_length), np.iinfo(np.int64).min)
                 for row, k in enumerate(by_length):

@@ -147,6 +147,27 @@ def test_top_k_of_odd_vectors(spark):
     assert top_k(empty, empty).collect() == []
 
 
+@pytest.mark.parametrize("copies", [2, 30])
+def test_top_k_of_a_repeated_query_row(spark, monkeypatch, copies):
+    rng = np.random.default_rng(12)
+    rows = [(i, v, 0) for i, v in enumerate(rng.normal(size=(300, 24)).tolist(), 1)]
+    hot = (1000, (3 * rng.normal(size=24)).tolist(), 0)
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 400)
+    df = frame(spark, rows + [hot] * copies)
+    got = sorted((r["rank"], r.vec_id, r.score) for r in top_k(df, df.where("vec_id = 1000"), k=20).collect())
+    want = [(n, j, s) for i, n, j, s in brute_top([*rows, hot], 20) if i == 1000]
+    assert len(want) == 20
+    assert got == sorted(want * copies)
+
+
+@pytest.mark.parametrize("copies", [2, 30])
+def test_own_rows_take_no_place_of_a_block(copies):
+    p = np.array([[9.0, 0.0]] * copies + [[2.0, 0.0], [1.0, 0.0], [0.0, 1.0]])
+    top = topk.TopK(np.array([7]), p[:1], np.array([-np.inf]), 2)
+    top.visit(np.array([7] * copies + [1, 2, 3]), p, np.sqrt((p**2).sum(axis=1)))
+    assert [b.tolist() for b in top.best[0]] == [[1, 2], [18, 9]]
+
+
 def test_products_stay_exact():
     big = np.array([[2.0**40, 3.0]])
     assert exact_products(big, big)[0, 0] == 2**63 - 1
