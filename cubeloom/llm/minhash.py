@@ -30,7 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import portions
@@ -128,15 +128,15 @@ def _sketches(words: int, bands: int, rows: int):
                 keys.append(band_keys(s, bands, rows))
                 coords.append(s.astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(coords, pa.binary())],
-                names=["id", "n_shingles", "hi", "lo", "bands", "coords"],
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(coords, pa.binary())],
+                names=["id", "text_hash", "n_shingles", "hi", "lo", "bands", "coords"],
             )
 
     return run
 
 
 def _confirm(words: int, percent: int):
-    """Streams (pivot, part, role, id, text) sorted by the first three: a pivot's texts, then its followers'."""
+    """Streams (pivot, part, role, rep, text) sorted by the first three: a pivot's texts, then its followers'."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
@@ -161,24 +161,31 @@ def _confirm(words: int, percent: int):
     return run
 
 
-def confirm_links(texts: DataFrame, pairs: DataFrame, words: int, percent: int, portion: int = 64) -> DataFrame:
-    """The pairs (u, v) whose full shingle sets reach ``percent`` Jaccard similarity; v is the pivot.
+def confirm_links(texts: DataFrame, owners: DataFrame, pairs: DataFrame, words: int, percent: int, portion: int = 64) -> DataFrame:
+    """The pairs (u, v) of classes whose full shingle sets reach ``percent`` Jaccard similarity; v is the pivot.
 
-    ``texts`` is (id, text), ``pairs`` a staged table. A pivot with more than
+    ``texts`` is (id, text, text_hash), ``owners`` (rep, own_id, own_hash) says
+    whose text a class has, ``pairs`` is a staged table. A pivot with more than
     ``portion`` followers is sent to several tasks, each with its share of them.
     """
     crowded = pairs.groupBy("v").count().where(F.col("count") > portion).select("v", F.ceil(F.col("count") / portion).cast("int").alias("parts"))
     dealt = pairs.join(crowded, "v", "left").select("u", "v", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("u"), F.col("parts"))).cast("int").alias("part"))
     dealt = stage(dealt, "pairs-dealt")
-    routes = dealt.select(F.col("u").alias("rid"), F.col("v").alias("pivot"), "part", F.lit(1).alias("role")).unionByName(
-        dealt.select(F.col("v").alias("rid"), F.col("v").alias("pivot"), "part", F.lit(0).alias("role")).distinct()
+    routes = dealt.select(F.col("u").alias("rep"), F.col("v").alias("pivot"), "part", F.lit(1).alias("role")).unionByName(
+        dealt.select(F.col("v").alias("rep"), F.col("v").alias("pivot"), "part", F.lit(0).alias("role")).distinct()
     )
-    routed = texts.join(routes.hint("shuffle_hash"), F.col("id") == F.col("rid")).select("pivot", "part", "role", "id", "text")
+    routed = _with_text(texts, owners, routes).select("pivot", "part", "role", "rep", "text")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grouped = routed.repartition(parts, "pivot", "part").sortWithinPartitions("pivot", "part", "role")
     return grouped.mapInArrow(_confirm(words, percent), "u long, v long")
 
 
+def _with_text(texts: DataFrame, owners: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` of classes with a text of each; an id alone won't do, as several texts may share it."""
+    owned = rows.join(owners, "rep").hint("shuffle_hash")
+    return texts.join(owned, (F.col("id") == F.col("own_id")) & (F.col("text_hash") == F.col("own_hash"))).drop("id", "text_hash", "own_id", "own_hash")
+
+
 def _near(t: int, least: float):
     @F.pandas_udf("boolean")
     def near(a, b):
@@ -296,23 +303,29 @@ def near_duplicates(
     pivots: int = 3,
     block: int = 256,
 ) -> DataFrame:
-    """(id, n_shingles, component_id, kept), one row per row of ``docs``.
+    """(id, n_shingles, component_id, kept, text_hash, chosen), one row per row of ``docs``.
 
     Words are runs free of blanks in the text with A-Z lower-cased; documents
     link when 100 * |A & B| >= percent * |A | B| for their sets of ``words``-word
     shingles. ``component_id`` is the smallest id reachable, ``kept`` marks it.
     With 32 bands of 5 rows, a pair at similarity 0.8 misses all bands with
     probability 3e-6. Texts that are null or free of words link with nothing.
-    Rows that repeat an id are judged each by its own text. Rows with a null id
-    take no part: their component is null and they are kept.
+    Rows that repeat an id are judged each by its own text; components that have
+    only an id in common may show the same ``component_id``. ``text_hash`` and
+    ``chosen`` tell them apart for ``keep_one``: chosen is the one text of a
+    component, of the smallest id, that stays. Rows with a null id take no part:
+    their component is null and they are kept.
     An empty table gives an empty result; ids must be integers.
     """
     t, least = bands * rows, percent / 100 - 0.18
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    drawn = stage(texts.mapInArrow(_sketches(words, bands, rows), "id long, n_shingles long, hi long, lo long, bands array<long>, coords binary"), "sketches")
-    # All of a class have the same set, so the same bands and coordinates: any row's will do.
-    classes = stage(drawn.where("id is not null and hi is not null").groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("coords").alias("coords")), "classes")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), text_hash(text_col).alias("text_hash"))
+    drawn = stage(texts.mapInArrow(_sketches(words, bands, rows), "id long, text_hash long, n_shingles long, hi long, lo long, bands array<long>, coords binary"), "sketches")
+    # All of a class have the same set, so the same bands and coordinates: any row's will do. Classes have keys of
+    # their own, as several of them may have the same smallest id; written, the keys stay.
+    classes = drawn.where("id is not null and hi is not null").groupBy("hi", "lo").agg(F.min(F.struct("id", "text_hash")).alias("own"), F.first("bands").alias("bands"), F.first("coords").alias("coords"))
+    classes = stage(classes.select("hi", "lo", F.col("own.id").alias("own_id"), F.col("own.text_hash").alias("own_hash"), F.monotonically_increasing_id().alias("rep"), "bands", "coords"), "classes")
+    owners = classes.select("rep", "own_id", "own_hash")
     members = classes.select("rep", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low != high")
     buckets = stage(members.join(shared.select("band"), "band").distinct(), "buckets")
@@ -343,7 +356,7 @@ def near_duplicates(
         tried = pairs if tried is None else tried.unionByName(pairs)
         likely = pairs.join(coords.select(F.col("rep").alias("u"), F.col("coords").alias("cu")), "u").join(coords.select(F.col("rep").alias("v"), F.col("coords").alias("cv")), "v")
         likely = stage(likely.where(near("cu", "cv")).select("u", "v").distinct(), "pairs-near")
-        confirmed = stage(confirm_links(texts, likely, words, percent), "links")
+        confirmed = stage(confirm_links(texts, owners, likely, words, percent), "links")
         links = confirmed if links is None else links.unionByName(confirmed)
         labels = stage(components(links), "labels")
     if labels is not None:
@@ -387,32 +400,44 @@ def _remaining_links(texts: DataFrame, current: DataFrame, pivoted: DataFrame, c
 
     possible = stage(grouped(dealt).mapInArrow(_possible(t, least), "band long, b1 int, b2 int, rep long"), "possible")
     live = dealt.join(possible, ["band", "b1", "b2", "rep"], "left_semi")
-    with_text = texts.join(live.hint("shuffle_hash"), F.col("id") == F.col("rep")).drop("id")
-    return grouped(with_text).mapInArrow(_joining(t, least, words, percent), "u long, v long")
+    return grouped(_with_text(texts, classes.select("rep", "own_id", "own_hash"), live)).mapInArrow(_joining(t, least, words, percent), "u long, v long")
 
 
 def _result(drawn: DataFrame, classes: DataFrame, labels: DataFrame | None, id_col: str, kind: str) -> DataFrame:
-    reps = classes.select("hi", "lo", "rep")
+    own = F.struct(F.col("own_id").alias("id"), F.col("own_hash").alias("text_hash"))
+    reps = classes.select("hi", "lo", "rep", own.alias("own"))
     if labels is not None:
-        reps = reps.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("hi", "lo", F.coalesce("component", "rep").alias("comp"))
+        # Only here do keys become ids: the smallest of the component, and the text that has it.
+        smallest = labels.join(reps.select(F.col("rep").alias("node"), "own"), "node").groupBy("component").agg(F.min("own").alias("least"))
+        known = labels.join(smallest, "component").select(F.col("node").alias("rep"), "least")
+        reps = reps.join(known, "rep", "left").select("hi", "lo", F.coalesce("least", "own").alias("first"))
     else:
-        reps = reps.select("hi", "lo", F.col("rep").alias("comp"))
-    per_row = drawn.select("id", "n_shingles", "hi", "lo").join(reps.select(F.struct("hi", "lo", "comp").alias("r")), (F.col("hi") == F.col("r.hi")) & (F.col("lo") == F.col("r.lo")), "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("r.comp", "id"))
+        reps = reps.select("hi", "lo", F.col("own").alias("first"))
+    per_row = drawn.select("id", "text_hash", "n_shingles", "hi", "lo").join(reps.select(F.struct("hi", "lo", "first").alias("r")), (F.col("hi") == F.col("r.hi")) & (F.col("lo") == F.col("r.lo")), "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("r.first.id", "id"))
+    kept = F.coalesce(F.col("id") == component, F.lit(True))
     return per_row.select(
-        F.col("id").cast(kind).alias(id_col), "n_shingles", component.cast(kind).alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept")
+        F.col("id").cast(kind).alias(id_col),
+        "n_shingles",
+        component.cast(kind).alias("component_id"),
+        kept.alias("kept"),
+        "text_hash",
+        (kept & F.coalesce(F.col("text_hash") == F.col("r.first.text_hash"), F.lit(True))).alias("chosen"),
     )
 
 
+def text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.col(f"`{text_col}`").cast("string"))
+
+
 def keep_one(docs: DataFrame, result: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps; of rows that repeat an id, the one with the smallest text."""
-    kept = result.where(F.col("kept") & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_kept_id")).agg(F.count("*").alias("_rows"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
-    kept = stage(kept.select(F.struct("_kept_id", "_rows").alias("k")), "kept")
-    joined = rows.join(kept.hint("shuffle_hash"), F.col(f"d.`{id_col}`") == F.col("k._kept_id"))
+    """The rows of ``docs`` that ``near_duplicates`` chose, and those with a null id; of rows that repeat an id and its text, one."""
+    chosen = result.where(F.col("chosen") & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).agg(F.count("*").alias("_rows"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), text_hash(text_col).alias("h"))
+    chosen = stage(chosen.select(F.struct("_id", "_hash", "_rows").alias("k")), "kept")
+    joined = rows.join(chosen.hint("shuffle_hash"), (F.col(f"d.`{id_col}`") == F.col("k._id")) & (F.col("h") == F.col("k._hash")))
     once, again = joined.where("k._rows = 1").select("d.*"), joined.where("k._rows > 1")
     out = once.unionByName(rows.where(F.col(f"d.`{id_col}`").isNull()).select("d.*"))
-    if kept.where("k._rows > 1").limit(1).count():
-        order = F.struct(F.coalesce(F.col(f"d.`{text_col}`"), F.lit("")), F.to_json("d"))
-        out = out.unionByName(again.groupBy("k._kept_id").agg(F.min_by("d", order).alias("d")).select("d.*"))
+    if chosen.where("k._rows > 1").limit(1).count():
+        out = out.unionByName(again.groupBy("k._id", "k._hash").agg(F.min_by("d", F.to_json("d")).alias("d")).select("d.*"))
     return out

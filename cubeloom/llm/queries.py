@@ -55,7 +55,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4)
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4).drop("text_hash", "chosen")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

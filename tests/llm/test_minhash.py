@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 
@@ -99,6 +100,19 @@ def test_keep_one_drops_repeated_rows(spark):
     assert ids == [0, 1, 2, 3, 4, 5, 7, 8]
 
 
+def test_different_texts_of_one_id_are_judged_each(spark):
+    rng = random.Random(5)
+    a, b, c, d = ([f"{name}{rng.randint(0, 10**6)}" for _ in range(60)] for name in "abcd")
+    docs = [(1, " ".join(a)), (5, mutated(rng, a, 1)), (5, " ".join(b)), (5, " ".join(c)), (5, mutated(rng, c, 1)), (5, " ".join(c)), (9, mutated(rng, b, 1)), (9, " ".join(d)), (9, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    result = near_duplicates(frame)
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in result.collect())
+    assert got == Counter([(1, 1, True), (5, 1, False), (5, 5, True), (5, 5, True), (5, 5, True), (5, 5, True), (9, 5, False), (9, 9, True), (9, 9, True)])
+    stay = [(r.doc_id, r.text) for r in keep_one(frame, result).collect()]
+    of_c = [row for row in stay if row in docs[3:5]]
+    assert len(of_c) == 1 and Counter(stay) == Counter([docs[0], docs[2], docs[7], docs[8], *of_c])
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(k, k + 1) for k in range(60)] + [(100, 200), (200, 300), (150, 300)] + [(1000, 1001 + k) for k in range(200)]
