@@ -30,7 +30,7 @@ _NOT_LETTERS = bytes(b for b in range(128) if not chr(b).isalpha())
 
 
 def measure(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
-    """(id, source, size, letters, bytes): words (runs free of blanks) and letter bytes of every whole text."""
+    """(id, source, size, letters, bytes, text_hash): words (runs free of blanks) and letter bytes of every whole text."""
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches):
@@ -42,13 +42,14 @@ def measure(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> Dat
                     pa.array([len(t.split()) for t in texts], pa.int64()),  # bytes.split() parts at \x20 and \x09-\x0D
                     pa.array([len(t.translate(None, _NOT_LETTERS)) for t in texts], pa.int64()),
                     pa.array([len(t) for t in texts], pa.int64()),
+                    batch.column(3),
                 ],
-                names=["id", "source", "size", "letters", "bytes"],
+                names=["id", "source", "size", "letters", "bytes", "text_hash"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    named = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
-    return named.mapInArrow(sizes, f"id {kind}, source string, size long, letters long, bytes long")
+    named = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"), _text_hash(text_col).alias("text_hash"))
+    return named.mapInArrow(sizes, f"id {kind}, source string, size long, letters long, bytes long, text_hash long")
 
 
 def letter_share() -> Column:
@@ -101,7 +102,7 @@ def mix(
     quality: Column | None = None,
     seed: int = 17,
 ) -> DataFrame:
-    """One row (id, source, size, source_size, target, taken) per row of ``docs``.
+    """One row (id, source, size, source_size, target, taken, text_hash) per row of ``docs``.
 
     ``weights`` repeat over the sources in code-point order, null last; together
     sources get ``share`` times all words, none more than ``most`` times its
@@ -109,21 +110,22 @@ def mix(
     plus, for sampled documents, one more whole pass or the words that still fit.
     ``quality`` is an expression over (size, letters, bytes); by default the
     share of letters. Null and empty texts have size 0 and give nothing. Rows
-    that repeat an id are ordered by size; equal ones share a key and are taken
-    one after the other. An empty table gives an empty result. Reruns agree.
+    that repeat an id, or have none, are ordered by size and ``text_hash``, by
+    which ``draw`` knows them again; equal ones share a key and are taken one
+    after the other. An empty table gives an empty result. Reruns agree.
     """
     sizes = stage(measure(docs, id_col, source_col, text_col), "mix-sizes")
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
     weight = quality if quality is not None else letter_share()
-    keyed = sizes.select("id", "source", key.alias("source_key"), "size", exponential_key(F.col("id"), weight, seed).alias("es_key"))
+    keyed = sizes.select("id", "source", key.alias("source_key"), "size", exponential_key(F.col("id"), weight, seed).alias("es_key"), "text_hash")
     # Written, the table's true size is known, and the join broadcasts it only if that is small.
     targets = stage(source_targets(keyed, weights, share, most), "mix-targets")
-    placed = running(keyed, "source_key", [F.col("es_key"), F.col("id"), F.col("size")], "size")
+    placed = running(keyed, "source_key", [F.col("es_key"), F.col("id"), F.col("size"), F.col("text_hash")], "size")
     joined = placed.join(targets, "source_key")
     epochs = F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)))
     budget = F.floor(F.col("target")) - epochs * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), budget - F.col("before")))
-    return joined.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
+    return joined.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"), "text_hash")
 
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -137,17 +139,41 @@ def first_words(text: bytes, n: int) -> bytes:
     return text if last is None else text[: last.end()]
 
 
-def draw(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.col(f"`{text_col}`").cast("string"))
+
+
+def _row_key(id_col: str, text_hash: Column, source_col: str) -> Column:
+    return F.concat_ws(":", F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("n")), text_hash.cast("string"), F.coalesce(F.concat(F.lit("s"), F.col(f"`{source_col}`").cast("string")), F.lit("n")))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """(k, at) with ``place``, the number of rows of the key before; a key with many rows is dealt to many tasks."""
+    return running(rows.select("k", "at", F.lit(1).cast("long").alias("one")), "k", [F.col("at")], "one").select("k", "at", "place")
+
+
+def draw(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs`` as ``mixed`` takes them: a row per whole pass, and one cut to the words that still fit.
 
-    Ids must not repeat in ``docs``; rows with a null id can't be told apart and
-    are not drawn. Documents of which nothing is taken go.
+    Rows are known by id, text and source, so ids may repeat or be null; of rows
+    equal in all three each gets the share of one of them. Documents of which
+    nothing is taken go.
     """
     own = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("d"))
-    whole = F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)))
-    plan = mixed.where(F.col("taken") > 0).select(F.struct(F.col(id_col).alias("id"), whole.cast("int").alias("whole"), (F.col("taken") - whole * F.col("size")).alias("rest")).alias("m"))
-    joined = rows.join(plan.hint("shuffle_hash"), F.col(f"d.`{id_col}`") == F.col("m.id"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("d"), _row_key(id_col, _text_hash(text_col), source_col).alias("k"))
+    keyed = mixed.select(_row_key(id_col, F.col("text_hash"), source_col).alias("k"), "size", "taken")
+    plan = stage(keyed.groupBy("k").agg(F.count("*").alias("n"), F.max("size").alias("size"), F.max("taken").alias("taken")).where("taken > 0"), "draw-plan")
+    single = plan.where("n = 1").select(F.struct("k", "size", "taken").alias("m"))
+    joined = rows.join(single.hint("shuffle_hash"), F.col("k") == F.col("m.k")).select("d", "m")
+    repeated = plan.where("n > 1").select("k")
+    if repeated.limit(1).count():
+        held = stage(rows.join(repeated, "k").withColumn("at", F.monotonically_increasing_id()), "draw-rows")
+        wanted = stage(keyed.where("taken > 0").join(repeated, "k").withColumn("at", F.monotonically_increasing_id()), "draw-shares")
+        shares = _numbered(wanted).join(wanted.select("at", "size", "taken"), "at").select("k", "place", F.struct("k", "size", "taken").alias("m"))
+        places = _numbered(held).join(shares, ["k", "place"]).select("at", "m")
+        joined = joined.unionByName(held.join(places, "at").select("d", "m"))
+    whole = F.floor(F.col("m.taken") / F.greatest(F.col("m.size"), F.lit(1))).cast("int")
+    joined = joined.select("d", F.struct(whole.alias("whole"), (F.col("m.taken") - whole * F.col("m.size")).alias("rest")).alias("m"))
     passes = F.when(F.col("m.whole") > 0, F.array_repeat(F.lit(0).cast("long"), F.col("m.whole"))).otherwise(F.array().cast("array<long>"))
     last = F.when(F.col("m.rest") > 0, F.array(F.col("m.rest"))).otherwise(F.array().cast("array<long>"))
     each = joined.select("d", F.explode(F.concat(passes, last)).alias("cut"))

@@ -71,6 +71,20 @@ def test_mix_takes_its_words(stages):
     assert abs(sum(words.values()) - 1.5 * sizes) <= before.select("source").distinct().count()
 
 
+def test_mix_draws_rows_without_an_id_of_their_own(spark):
+    rows = [(i, f"one{i} a b c d", "en", s, 14) for i, s in enumerate("xxyyyyyyyyyy")]
+    rows += [(None, f"none{i} a b" + " c" * (i % 3), "en", "x", 9) for i in range(12)] + [(None, "same a b", "en", "y", 8)] * 9
+    rows += [(50, f"fifty{i} a b c", "en", "y", 9) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    text_of = {r.h: r.text for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    want, words = Counter(), Counter()
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id, text_of[r.text_hash].split()[0]] += r.taken
+    for r in corpus_pipeline.mix_sources(spark, docs, "").collect():
+        words[r.doc_id, r.text.split()[0]] += len(r.text.split())
+    assert words == +want and sum(n for (i, _), n in want.items() if i is None) > 50
+
+
 def test_every_row_is_packed_once(stages):
     _, before, after = stages[1][4]
     rows = after.collect()
