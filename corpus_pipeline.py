@@ -17,9 +17,11 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labels of ``sf_dir``, scores below 0.5."""
+    """Documents that the classifier, fitted on the labels of ``sf_dir``, scores below 0.5; all if the labels can't tell texts apart."""
     staging.begin(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if model.constant:
+        return docs
     return toxicity.score(docs, model, "text", "_toxicity").where(F.col("_toxicity") < 0.5).drop("_toxicity")
 
 

@@ -71,6 +71,11 @@ class Model:
     weights: dict[str, float]
     bias: float
 
+    @property
+    def constant(self) -> bool:
+        """Whether all texts score alike, as without labels of both kinds: the score then says nothing about a text."""
+        return not self.weights
+
     def scorer(self):
         """A function from texts to scores that remembers which features words have."""
         memory: dict[str, tuple[str, ...]] = {}
@@ -208,8 +213,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     ``held_out`` is false for null ids. Rows that repeat an id are scored each;
     equal texts get equal scores. Without labels of both kinds every text gets
-    the base rate. An empty table gives an empty result.
+    the base rate and none is predicted toxic. An empty table gives an empty result.
     """
     model = train(docs, labels, folds=folds, held_out=held_out, id_col=id_col, text_col=text_col)
     scored = score(docs.select(F.col(id_col), F.col(text_col)), model, text_col, "score", [id_col])
-    return scored.select(id_col, F.coalesce(fold(id_col, folds) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+    return scored.select(id_col, F.coalesce(fold(id_col, folds) == held_out, F.lit(False)).alias("held_out"), "score", ((F.col("score") >= cut) & F.lit(not model.constant)).cast("int").alias("predicted"))

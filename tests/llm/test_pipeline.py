@@ -46,6 +46,15 @@ def test_toxic_documents_go(spark, stages):
     assert {r.doc_id: r.text for r in after.collect()} == want and 0 < before.count() - len(want) < 0.2 * before.count()
 
 
+@pytest.mark.parametrize("labels", [[], [(1, 1), (2, 1), (3, 1)], [(3, None)]])
+def test_no_document_goes_without_labels_of_both_kinds(spark, tmp_path, labels):
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(i, f"text {i}", "en", "x", 6) for i in range(9)] + [(None, None, "en", "x", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    after = corpus_pipeline.reject_toxic(spark, docs, str(tmp_path))
+    assert Counter(after.collect()) == Counter(docs.collect())
+    assert {r.predicted for r in toxicity.classify(docs, spark.read.parquet(f"{tmp_path}/labels.parquet")).collect()} == {0}
+
+
 def test_repeated_lines_go(stages):
     _, before, after = stages[1][1]
     want = brute_lines([(r.doc_id, r.text) for r in before.collect()])
