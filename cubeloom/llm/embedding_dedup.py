@@ -13,7 +13,9 @@
    towards itself, and through everything within the (slackened) range. Pieces
    of one shard search each other pairwise.
 6. What the search reaches is verified by its cosine in double precision. A pair
-   counts in the first shard that both vectors share. Only counts and local
+   counts in the first shard that both vectors share. As a later shard's search
+   may find what the first one's missed, the first shard also compares directly
+   those of its vectors that share a later one. Only counts and local
    components leave a task, never pairs; components join the shards' stars.
 
 ``audit_recall`` compares with brute force for a sample of vectors.
@@ -174,6 +176,29 @@ def _build(key, pdf):
     return pd.DataFrame({"rep": reps, "near": [reps[a] for a in lists]})
 
 
+def _shared_later(x: np.ndarray, nodes: np.ndarray, asks: np.ndarray, clusters: np.ndarray, cluster: int, least: float) -> Iterator[np.ndarray]:
+    """Codes of the pairs of cosine >= least between ``nodes`` and ``asks`` that share a shard after ``cluster``.
+
+    Such a pair counts here, if here first, whichever of its shards finds it.
+    """
+    known = {c: k for k, c in enumerate(sorted({c for row in clusters for c in row if c > cluster}))}
+    later = np.zeros((len(x), len(known)), dtype=np.float32)
+    for k, row in enumerate(clusters):
+        later[k, [known[c] for c in row if c > cluster]] = 1
+    more = later.any(axis=1)
+    asks, nodes = asks[more[asks]], nodes[more[nodes]]
+    for at in range(0, len(asks), 256):
+        part = asks[at : at + 256]
+        sims = x[part] @ x[nodes].T
+        # At the very threshold the search's own sum decides.
+        for i, j in zip(*np.nonzero(np.abs(sims - least) < 1e-12), strict=True):
+            sims[i, j] = np.einsum("ij,ij->i", x[part[i : i + 1]], x[nodes[j : j + 1]])[0]
+        left, right = np.nonzero((sims >= least) & (later[part] @ later[nodes].T > 0))
+        left, right = part[left], nodes[right]
+        left, right = left[left != right], right[left != right]
+        yield np.unique(np.minimum(left, right) * len(x) + np.maximum(left, right))
+
+
 def _searcher(least: float):
     def search(key, pdf):
         cluster, first, second = key[1], key[2], key[3]
@@ -205,6 +230,7 @@ def _searcher(least: float):
                 hits.append(np.minimum(a, b[b != a]) * len(reps) + np.maximum(a, b[b != a]))
                 if len(hits) > 500:
                     hits = [np.unique(np.concatenate(hits))]
+            hits += _shared_later(x, nodes, asks, pdf["clusters"].to_numpy(), cluster, least)
             codes = np.unique(np.concatenate(hits)) if hits else np.zeros(0, np.int64)
             for at in range(0, len(codes), 100_000):
                 a, b = codes[at : at + 100_000] // len(reps), codes[at : at + 100_000] % len(reps)

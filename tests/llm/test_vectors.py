@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from cubeloom.llm import embedding_dedup, topk
@@ -75,6 +76,18 @@ def test_links_equal_brute_force(spark, monkeypatch, piece):
     assert audit_recall(df, result, every=3) >= 0.97
 
 
+def test_links_of_later_shards_count(monkeypatch):
+    """A search that misses every pair in the first shard, and only there, loses no link."""
+    x, _ = unit(np.array([[1.0, 0.001 * i] for i in range(12)]))
+    pdf = pd.DataFrame({"piece": 0, "rep": range(12), "copies": 1, "x": list(x), "clusters": [[0, 1]] * 12, "near": [list(range(12))] * 12})
+    search = embedding_dedup._searcher(0.98)
+    later = search(("0", 1, 0, 0), pdf)
+    monkeypatch.setattr(embedding_dedup, "range_search", lambda *a, **k: iter(()))
+    first = search(("0", 0, 0, 0), pdf)
+    assert (later["low"] == 0).all() and (first["low"] == 0).all()
+    assert (first["links"] + later["links"] == 11).all()
+
+
 ODD = [
     (1, [1.0, 0.0], 1),
     (2, [2.0, 0.0], 1),
