@@ -39,9 +39,15 @@ from .vectors import to_matrix
 FIT_ROWS, MOST_CENTROIDS = 8192, 1024
 #: Rows of a shard aimed at, and of a piece at most (in expectation).
 SHARD_ROWS, PIECE_ROWS = 1500, 2048
-MARGIN = 0.15
 NEAREST, RANDOM, DEGREE, ALPHA = 48, 8, 24, 1.2
-SLACK, BEAM = 0.04, 0.02
+#: The range is loosened by SLACK times what ``least`` leaves to 1.
+SLACK, BEAM = 2.0, 0.02
+
+
+def margin(least: float) -> float:
+    """The angle of a pair at the threshold: its two vectors' distances to their nearest centroids' rivals sum to
+    at most twice that, so one of them joins the other's shard."""
+    return float(np.arccos(np.clip(least, -1, 1))) + 1e-6
 
 
 def unit(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +70,7 @@ def fit_centroids(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 3) ->
     return centres
 
 
-def shards_of(x: np.ndarray, centres: np.ndarray, margin: float = MARGIN) -> list[list[int]]:
+def shards_of(x: np.ndarray, centres: np.ndarray, margin: float) -> list[list[int]]:
     angles = np.arccos(np.clip(x @ centres.T, -1, 1))
     return [np.flatnonzero(row <= row.min() + margin).tolist() for row in angles]
 
@@ -114,12 +120,13 @@ def medoids(x: np.ndarray, extra: int = 3) -> list[int]:
     return out
 
 
-def range_search(x: np.ndarray, adjacency: list[np.ndarray], queries: np.ndarray, starts: list[np.ndarray], least: float, slack: float = SLACK) -> Iterator[tuple[int, np.ndarray]]:
+def range_search(x: np.ndarray, adjacency: list[np.ndarray], queries: np.ndarray, starts: list[np.ndarray], least: float) -> Iterator[tuple[int, np.ndarray]]:
     """(query, nodes of cosine >= least) reached by range-expanding greedy search.
 
     A visited node is expanded while it is nearly the query's best so far or
-    lies within the range loosened by ``slack``.
+    lies within the range loosened by SLACK.
     """
+    slack = SLACK * (1 - least)
     sizes = np.array([len(a) for a in adjacency])
     offsets = np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(sizes) else np.zeros(0, int)
     flat = np.concatenate(adjacency) if len(adjacency) else np.zeros(0, int)
@@ -287,7 +294,7 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
             x = np.pad(m, ((0, 0), (0, wide - m.shape[1])))
             centres = np.pad(fitted, ((0, 0), (0, wide - fitted.shape[1])))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(x), pa.list_(pa.float64())), *batch.columns[1:], pa.array(shards_of(x, centres), pa.list_(pa.int32()))], names=["x", "label", "rep", "copies", "clusters"]
+                [pa.array(list(x), pa.list_(pa.float64())), *batch.columns[1:], pa.array(shards_of(x, centres, margin(least)), pa.list_(pa.int32()))], names=["x", "label", "rep", "copies", "clusters"]
             )
 
     placed = stage(classes.select("x", "label", "rep", "copies").mapInArrow(assign, "x array<double>, label string, rep long, copies long, clusters array<int>"), "vector-shards")

@@ -88,6 +88,16 @@ def test_links_of_later_shards_count(monkeypatch):
     assert (first["links"] + later["links"] == 11).all()
 
 
+@pytest.mark.parametrize("least", [0.98, 0.9])
+def test_pairs_across_a_border_share_a_shard(least):
+    """Two dimensions and many centroids: a pair at the threshold straddles a border."""
+    angles = np.linspace(0, 2 * np.pi, 2000)
+    x = np.stack([np.cos(angles), np.sin(angles)], axis=1)
+    centres = x[::250]
+    shards = [set(s) for s in embedding_dedup.shards_of(x, centres, embedding_dedup.margin(least))]
+    assert all(shards[a] & shards[b] for a, b in zip(*np.nonzero(x @ x.T >= least), strict=True))
+
+
 ODD = [
     (1, [1.0, 0.0], 1),
     (2, [2.0, 0.0], 1),
