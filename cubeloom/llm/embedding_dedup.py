@@ -281,20 +281,18 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
 
     drawn = rows.where("id is not null and label is not null and h1 is not null").select("label", "v", "h1", "h2", "id").mapInArrow(units, "label string, x array<double>, h1 long, h2 long, id long")
     classes = stage(drawn.groupBy("label", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("x").alias("x")), "vector-classes")
-    shape = classes.agg(F.count("*").alias("n"), F.approx_count_distinct("label").alias("labels")).first()
+    shape = classes.agg(F.count("*").alias("n"), F.approx_count_distinct("label").alias("labels"), F.max(F.size("x")).alias("width")).first()
     centroids = min(MOST_CENTROIDS, max(1, round(shape.n / max(1, shape.labels) / SHARD_ROWS)))
     sample = classes.select("x", "h1").orderBy("h1").limit(FIT_ROWS).select("x").toArrow().column("x").to_pylist()
-    width = max((len(v) for v in sample), default=1)
+    width = shape.width or 1
     fitted = fit_centroids(np.array([v + [0.0] * (width - len(v)) for v in sample]), centroids) if sample else np.ones((1, 1))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m, _ = to_matrix(batch.column(0))
-            wide = max(m.shape[1], fitted.shape[1])
-            x = np.pad(m, ((0, 0), (0, wide - m.shape[1])))
-            centres = np.pad(fitted, ((0, 0), (0, wide - fitted.shape[1])))
+            x = np.pad(m, ((0, 0), (0, width - m.shape[1])))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(x), pa.list_(pa.float64())), *batch.columns[1:], pa.array(shards_of(x, centres, margin(least)), pa.list_(pa.int32()))], names=["x", "label", "rep", "copies", "clusters"]
+                [pa.array(list(x), pa.list_(pa.float64())), *batch.columns[1:], pa.array(shards_of(x, fitted, margin(least)), pa.list_(pa.int32()))], names=["x", "label", "rep", "copies", "clusters"]
             )
 
     placed = stage(classes.select("x", "label", "rep", "copies").mapInArrow(assign, "x array<double>, label string, rep long, copies long, clusters array<int>"), "vector-shards")

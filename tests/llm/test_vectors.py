@@ -98,6 +98,19 @@ def test_pairs_across_a_border_share_a_shard(least):
     assert all(shards[a] & shards[b] for a, b in zip(*np.nonzero(x @ x.T >= least), strict=True))
 
 
+def test_batches_of_unlike_widths(spark, monkeypatch):
+    """The longest vectors are few, beyond the fitting sample, and not in every batch."""
+    monkeypatch.setattr(embedding_dedup, "FIT_ROWS", 2)
+    rows = [(i, [1.0, 0.1 * i], 0) for i in range(60)] + [(60 + i, [1.0, 0.1 * i, 0.0, 0.01, 0.0][: 4 + i % 2], 0) for i in range(6)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicate_vectors(frame(spark, rows)).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == brute_links([(i, v + [0.0] * (5 - len(v)), lab) for i, v, lab in rows])
+
+
 ODD = [
     (1, [1.0, 0.0], 1),
     (2, [2.0, 0.0], 1),
