@@ -44,7 +44,7 @@ def _engine(spark: SparkSession, sf_dir: str, *rollups, zone: str = "UTC") -> En
 
 
 def _fresh(spark: SparkSession, sf_dir: str, *rollups, zone: str = "UTC", sources=None) -> Engine:
-    engine = Engine(spark, sources or catalog(spark, sf_dir), shared_folder(spark, "rollups"), Config(time_zone=zone, batch_size=100_000, max_run_seconds=600))
+    engine = Engine(spark, sources or catalog(spark, sf_dir), shared_folder(spark, "rollups"), Config(time_zone=zone, batch_size=100_000, max_run_seconds=float("inf")))
     engine.register(*rollups)
     for r in rollups:
         engine.backfill(r)

@@ -69,3 +69,13 @@ def test_command_line(spark, tmp_path):
     assert run("drain") == 0 and said[-1] == "0 changes applied"
     assert run("capture") == 0 and "line_items: every update" in said
     assert run("describe") == 0
+
+
+def test_queries_drain_without_a_deadline(monkeypatch):
+    from cubeloom.demo import queries as demo
+
+    made = []
+    monkeypatch.setattr(demo, "Engine", lambda spark, sources, folder, config: made.append(config) or type("E", (), {"register": lambda self, *r: None})())
+    monkeypatch.setattr(demo, "shared_folder", lambda *a: "")
+    demo._fresh(None, "", sources=object())
+    assert made[0].max_run_seconds == float("inf")
