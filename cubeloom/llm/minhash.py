@@ -24,7 +24,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -72,14 +71,12 @@ def shingle_set(text: bytes, words: int, hashes: dict | None = None) -> np.ndarr
     return np.unique(mix64(out))
 
 
-@lru_cache(maxsize=8)
-def _round_salts(t: int) -> np.ndarray:
+def round_salts(t: int) -> np.ndarray:
     return mix64(np.arange(1, 2 * t + 1, dtype=np.uint64) * _STEP)
 
 
-def sketch(elements: np.ndarray, t: int) -> np.ndarray:
-    """``t`` coordinates of a non-empty set, t at most 256: each packs round and value."""
-    salts = _round_salts(t)
+def sketch(elements: np.ndarray, t: int, salts: np.ndarray) -> np.ndarray:
+    """``t`` coordinates of a non-empty set, t at most 256: each packs round and value; ``salts`` are those of ``t``."""
     coords = np.zeros(t, dtype=np.uint64)
     open_bins = np.ones(t, dtype=bool)
     at, portion = 0, max(1, -(-2 * t // len(elements)))
@@ -109,6 +106,7 @@ def band_keys(coords: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def _sketches(words: int, bands: int, rows: int):
     t = bands * rows
+    salts = round_salts(t)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
@@ -124,7 +122,7 @@ def _sketches(words: int, bands: int, rows: int):
                 digest = xxhash.xxh3_128_intdigest(elements.tobytes())
                 hi.append((digest >> 64) - (1 << 63))
                 lo.append((digest & ((1 << 64) - 1)) - (1 << 63))
-                s = sketch(elements, t)
+                s = sketch(elements, t, salts)
                 keys.append(band_keys(s, bands, rows))
                 coords.append(s.astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(

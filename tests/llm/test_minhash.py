@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 
 from cubeloom.llm.components import components
-from cubeloom.llm.minhash import keep_one, near_duplicates, shingle_set, sketch
+from cubeloom.llm.minhash import keep_one, near_duplicates, round_salts, shingle_set, sketch
 
 from .shared import no_documents, odd_documents
 
@@ -67,13 +67,13 @@ def test_sketch_estimates_and_fills():
     rng = np.random.default_rng(1)
     for size in (1, 2, 7, 50, 3000):
         a = rng.integers(0, 2**63, size, dtype=np.uint64)
-        s = sketch(np.unique(a), 160)
-        assert len(s) == 160 and (s == sketch(np.unique(a), 160)).all()
+        s = sketch(np.unique(a), 160, round_salts(160))
+        assert len(s) == 160 and (s == sketch(np.unique(a), 160, round_salts(160))).all()
     common, errors = rng.integers(0, 2**63, 400, dtype=np.uint64), []
     for _ in range(30):
         a = np.unique(np.concatenate([common, rng.integers(0, 2**63, 50, dtype=np.uint64)]))
         b = np.unique(np.concatenate([common, rng.integers(0, 2**63, 50, dtype=np.uint64)]))
-        errors.append((sketch(a, 160) == sketch(b, 160)).mean() - 400 / 500)
+        errors.append((sketch(a, 160, round_salts(160)) == sketch(b, 160, round_salts(160))).mean() - 400 / 500)
     assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.06
 
 
