@@ -14,42 +14,26 @@ a source with a third of all rows is spread over many tasks.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from itertools import islice
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow import portions
 from .ranks import running
 from .staging import stage
-
-_NOT_LETTERS = bytes(b for b in range(128) if not chr(b).isalpha())
+from .texts import first_words, letter_bytes, word_count
 
 
 def measure(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
     """(id, source, size, letters, bytes, text_hash): words (runs free of blanks) and letter bytes of every whole text."""
 
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in portions(batches):
-            texts = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array([len(t.split()) for t in texts], pa.int64()),  # bytes.split() parts at \x20 and \x09-\x0D
-                    pa.array([len(t.translate(None, _NOT_LETTERS)) for t in texts], pa.int64()),
-                    pa.array([len(t) for t in texts], pa.int64()),
-                    batch.column(3),
-                ],
-                names=["id", "source", "size", "letters", "bytes", "text_hash"],
-            )
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    named = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"), _text_hash(text_col).alias("text_hash"))
-    return named.mapInArrow(sizes, f"id {kind}, source string, size long, letters long, bytes long, text_hash long")
+    text = F.col(f"`{text_col}`").cast("string")
+    return docs.select(
+        F.col(id_col).alias("id"),
+        F.col(source_col).cast("string").alias("source"),
+        word_count(text).alias("size"),
+        letter_bytes(text).alias("letters"),
+        F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"),
+        _text_hash(text_col).alias("text_hash"),
+    )
 
 
 def letter_share() -> Column:
@@ -128,17 +112,6 @@ def mix(
     return joined.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"), "text_hash")
 
 
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-
-
-def first_words(text: bytes, n: int) -> bytes:
-    """The text up to the end of its ``n``-th word; all of it if it has fewer."""
-    if n <= 0:
-        return b""
-    last = next(islice(_WORD.finditer(text), n - 1, None), None)
-    return text if last is None else text[: last.end()]
-
-
 def _text_hash(text_col: str) -> Column:
     return F.xxhash64(F.col(f"`{text_col}`").cast("string"))
 
@@ -178,9 +151,7 @@ def draw(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: st
     last = F.when(F.col("m.rest") > 0, F.array(F.col("m.rest"))).otherwise(F.array().cast("array<long>"))
     each = joined.select("d", F.explode(F.concat(passes, last)).alias("cut"))
 
-    @F.pandas_udf("string")
-    def reduced(texts, cuts):
-        return texts.combine(cuts, lambda t, n: None if t is None else first_words(t.encode(), int(n)).decode())
-
-    text = F.when(F.col("cut") > 0, reduced(F.when(F.col("cut") > 0, F.col(f"d.`{text_col}`")), F.col("cut"))).otherwise(F.col(f"d.`{text_col}`"))
+    # Evaluated for the few rows with a cut only.
+    whole_text = F.col(f"d.`{text_col}`").cast("string")
+    text = F.when(F.col("cut") > 0, first_words(whole_text, F.col("cut"))).otherwise(whole_text)
     return each.select(*[(text if c == text_col else F.col(f"d.`{c}`")).alias(c) for c in own])

@@ -10,16 +10,13 @@ positions inside a bucket come from ``ranks.running``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import portions
 from .ranks import running
 from .staging import stage
+from .texts import word_count
 
 #: Lengths up to this are histogram cells of their own; above, a cell spans 1/EXACT of its length.
 EXACT = 1024
@@ -62,13 +59,7 @@ def choose_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) ->
 def word_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, length): words of every whole text, a word being a run free of blanks."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in portions(batches):
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len((t or b"").split()) for t in texts], pa.int64())], names=["id", "length"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(count, f"id {kind}, length long")
+    return docs.select(F.col(id_col).alias("id"), word_count(F.col(f"`{text_col}`").cast("string")).alias("length"))
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 12, token_budget: int = 16384) -> DataFrame:
