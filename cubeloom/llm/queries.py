@@ -29,18 +29,40 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
 
 
-#: Vocabulary that token counts use, beside blank-separated words.
+#: Vocabulary that token counts use by default, beside blank-separated words.
 BPE_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
-def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokenizers = [token_counts.Tokenizer("words-1"), token_counts.Tokenizer.from_file("byte-bpe-50k-1", BPE_FILE)]
-    counts = token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizers)
+def token_totals(spark: SparkSession, docs: DataFrame, tokenizers: list[token_counts.Tokenizer]) -> DataFrame:
+    """Totals after a history of batches: documents come without a language, get it by revision, come twice and lose the second copy; batches are sent again, before and after compaction."""
+    counts = staging.stage(token_counts.count_tokens(docs, tokenizers), "token-counts")
     totals = token_counts.TokenTotals(spark, staging.new_path(spark, "token-totals"))
-    totals.apply("documents", token_counts.inserts(counts))
+    bare = counts.withColumn("lang", F.lit(None).cast("string"))
+    load, languages = token_counts.inserts(bare), token_counts.revisions(bare, counts)
+    applied = [
+        totals.apply("load", load),
+        totals.apply("languages", languages),
+        totals.apply("languages", languages),
+        totals.apply("second-copy", token_counts.inserts(counts)),
+        totals.apply("second-copy-gone", token_counts.deletes(counts)),
+    ]
+    totals.compact()
+    applied.append(totals.apply("load", load))
+    if applied != [True, True, False, True, True, False]:
+        raise RuntimeError(f"batches were not applied once each: {applied}")
     return totals.totals()
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = BPE_FILE) -> DataFrame:
+    tokenizers = [token_counts.Tokenizer("words-1"), token_counts.Tokenizer.from_file("byte-bpe-50k-1", vocabulary)]
+    return token_totals(spark, _table(spark, sf_dir, "documents"), tokenizers)
+
+
+def word_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4 with the tokenizer that SQL can state."""
+    return token_totals(spark, _table(spark, sf_dir, "documents"), [token_counts.Tokenizer("words-1")])
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"))
@@ -67,7 +89,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_embedding_dedup, op4_token_counts, op5_exact_topk, op6_quality, op7_toxicity, op8_minhash_dedup, op9_packing, op10_mixing)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_embedding_dedup, op4_token_counts, word_totals, op5_exact_topk, op6_quality, op7_toxicity, op8_minhash_dedup, op9_packing, op10_mixing)}
 
 
 _LINES_SQL = r"""

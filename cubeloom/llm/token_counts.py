@@ -12,7 +12,7 @@ from __future__ import annotations
 import base64
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -31,6 +31,14 @@ KEY = ("source", "lang", "tokenizer")
 DELTA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
 
+#: The same pieces for Python's ``regex``: \s spelled out as the characters of Unicode's White_Space.
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_PIECE = rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+#: Texts with a run of blanks or a word longer than this are cut into pieces here: the tokenizer's own
+#: pattern backtracks over a long run by recursion, and its stack ends at about a million characters.
+LONG_RUN = 10_000
+
+
 @dataclass(frozen=True)
 class Tokenizer:
     """``ranks`` is the text of a .tiktoken file; None counts runs free of blanks."""
@@ -40,32 +48,60 @@ class Tokenizer:
 
     @classmethod
     def from_file(cls, version: str, path: str) -> Tokenizer:
-        if Path(path).stat().st_size > VOCABULARY_BYTES:
+        """The vocabulary at ``path`` on the driver, from where it is sent to executors."""
+        file = Path(path)
+        if not file.is_file():
+            raise FileNotFoundError(f"no tokenizer vocabulary at {path}: name a .tiktoken file that the driver can read")
+        if file.stat().st_size > VOCABULARY_BYTES:
             raise ValueError(f"{path} is larger than {VOCABULARY_BYTES} bytes")
-        return cls(version, Path(path).read_bytes())
+        return cls(version, file.read_bytes())
+
+    def counter(self) -> Callable[[str], int]:
+        return make_counter(self.version, self.ranks)
+
+
+def has_long_run(text: str) -> bool:
+    """Whether a word, or maybe a run of blanks, exceeds LONG_RUN; cheap for the others."""
+    if len(text) <= LONG_RUN:
+        return False
+    sizes = [len(w) for w in text.split()]
+    return max(sizes, default=0) > LONG_RUN or len(text) - sum(sizes) - len(sizes) >= LONG_RUN
+
+
+def make_counter(version: str, ranks: bytes | None) -> Callable[[str], int]:
+    """A function from a text to its number of tokens, for texts of any length and kind."""
+    if ranks is None:
+        return lambda text: len(text.encode().split())
+    import regex
+    import tiktoken
+
+    merges = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
+    encoding = tiktoken.Encoding(version, pat_str=BYTE_BPE_PATTERN, mergeable_ranks=merges, special_tokens={})
+    whole = tiktoken.Encoding(f"{version}-whole", pat_str=r"[\s\S]+", mergeable_ranks=merges, special_tokens={})
+    piece = regex.compile(_PIECE)
 
-    def counter(self):
-        if self.ranks is None:
-            return lambda text: len(text.encode().split())
-        import tiktoken
+    def count(text: str) -> int:
+        if not has_long_run(text):
+            return len(encoding.encode_ordinary(text))
+        return sum(len(whole.encode_ordinary(m[0])) for m in piece.finditer(text))
 
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in self.ranks.splitlines() if line)}
-        encoding = tiktoken.Encoding(self.version, pat_str=BYTE_BPE_PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda text: len(encoding.encode_ordinary(text))
+    return count
 
 
 def count_tokens(docs: DataFrame, tokenizers: list[Tokenizer], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
     """(id, source, lang, tokenizer, tokens): a row per row of ``docs`` and tokenizer.
 
-    Null and empty texts have 0 tokens; texts are counted whole. Rows that
+    Null and empty texts have 0 tokens; texts are counted whole, with runs of
+    blanks, letters or marks of any length. Rows that
     repeat an id, or have none, count each. Null sources and languages are
     groups like others. An empty table gives an empty result.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(tokenizers)
+    # Plain values: a broadcast object of a class would need the package on executors.
+    sent = docs.sparkSession.sparkContext.broadcast([(t.version, t.ranks) for t in tokenizers])
     versions = [t.version for t in tokenizers]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = [t.counter() for t in sent.value]
+        counters = [make_counter(*t) for t in sent.value]
         for batch in portions(batches):
             texts = [t or "" for t in batch.column(3).to_pylist()]
             for version, counter in zip(versions, counters, strict=True):

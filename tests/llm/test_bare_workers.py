@@ -1,0 +1,60 @@
+"""Executors need not have the package: functions sent to them load where only Spark and the usual libraries are."""
+
+import subprocess
+import sys
+from pathlib import Path
+
+import pyspark
+from pyspark import cloudpickle
+from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
+
+from cubeloom.llm import queries
+
+SF = "/root/testdata/sf0.001"
+LOAD = """
+import pickle, sys
+sys.path[:] = [p for p in sys.path if p not in ("", sys.argv[2])] + [sys.argv[3]]
+names = pickle.load(open(sys.argv[1], "rb"))
+from pyspark.core import broadcast
+broadcast._from_id = lambda bid: None
+for data in names:
+    pickle.loads(data)
+assert not any(m.startswith("cubeloom") for m in sys.modules), sorted(m for m in sys.modules if m.startswith("cubeloom"))
+print(len(names))
+"""
+
+
+def test_worker_functions_load_without_the_package(spark, tmp_path, monkeypatch):
+    sent = []
+
+    def recorded(owner, name):
+        own = getattr(owner, name)
+
+        def wrapper(self, func, *args, **kwargs):
+            sent.append(cloudpickle.dumps(func))
+            return own(self, func, *args, **kwargs)
+
+        monkeypatch.setattr(owner, name, wrapper)
+
+    recorded(DataFrame, "mapInArrow")
+    make = F.pandas_udf
+
+    def pandas_udf(func, *args, **kwargs):
+        if callable(func):  # as applyInPandas calls it
+            sent.append(cloudpickle.dumps(func))
+            return make(func, *args, **kwargs)
+        return lambda f: (sent.append(cloudpickle.dumps(f)), make(func, *args, **kwargs)(f))[1]
+
+    monkeypatch.setattr(F, "pandas_udf", pandas_udf)
+    for name, query in queries.queries().items():
+        before = len(sent)
+        query(spark, SF)
+        if name not in ("op9_packing", "op10_mixing"):
+            assert len(sent) > before, name
+    path = tmp_path / "functions"
+    path.write_bytes(cloudpickle.dumps(sent))
+    root = str(Path(__file__).resolve().parents[2])
+    run = subprocess.run([sys.executable, "-I", "-c", LOAD, str(path), root, str(Path(pyspark.__file__).parents[1])], capture_output=True, text=True, cwd="/", timeout=120)
+    assert run.returncode == 0, run.stderr[-2000:]
+    assert int(run.stdout) == len(sent)

@@ -74,6 +74,41 @@ def test_tokenizers(spark):
     assert count_tokens(no_documents(spark), [Tokenizer("w")]).collect() == []
 
 
+def test_long_runs_are_counted_whole():
+    count = Tokenizer.from_file("b", BPE).counter()
+    prose = "It's 3 o'clock;  \t\nthe  sun\u3000shone, they'll say. "
+    rng = random.Random(9)
+    for n in (9_990, 10_010, 20_000):
+        for run in (" ", "\n", "\t ", "a", "7", "'", "\u2003", "é", "x9", "'s"):
+            text = prose + run * (n // len(run)) + rng.choice(["", "a", "'s", " b", "9", "!"]) + prose
+            assert token_counts.has_long_run(text) or n < 10_000
+            assert count(text) == slowly(text)
+    for text in (" " * 5_000_000, "\n" * 5_000_000 + "x", "a" * 5_000_000, "lorem " + " " * 1_000_000 + "ipsum"):
+        assert count(text) > 0
+    assert count("a" * 5_000_000) == 5 * count("a" * 1_000_000)
+
+
+def slowly(text):
+    """The tokenizer without any cutting; for runs that its stack bears."""
+    import base64
+
+    import tiktoken
+
+    global _slow
+    if _slow is None:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(BPE, "rb"))}
+        _slow = tiktoken.Encoding("own", pat_str=token_counts.BYTE_BPE_PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return len(_slow.encode_ordinary(text))
+
+
+_slow = None
+
+
+def test_vocabularies_are_checked(tmp_path):
+    with pytest.raises(FileNotFoundError, match="no tokenizer vocabulary"):
+        Tokenizer.from_file("b", str(tmp_path / "none.tiktoken"))
+
+
 # Running sums
 
 
