@@ -6,9 +6,10 @@ softmax(a . (tanh(V h) * sigmoid(U h))) within its document, and the score is a
 logistic function of the weighted sum of the passages' encodings. Encoder and
 attention are learned together from document labels alone.
 
-Training uses a bounded sample (``most`` documents of each label, with all
-their passages) and plain numpy; scoring streams whole texts without a shuffle
-and holds one document's passages at a time.
+Training uses a bounded sample (``most`` documents of each label, with up to
+``bag`` passages each, spread evenly over the text) and plain numpy: at most
+70 MB of features reach the driver. Scoring streams whole texts, all their
+passages, without a shuffle and holds one document's passages at a time.
 """
 
 from __future__ import annotations
@@ -61,6 +62,11 @@ def encode_passages(text: str | bytes | None) -> np.ndarray:
     return out
 
 
+def spread(rows: np.ndarray, most: int) -> np.ndarray:
+    """All rows, or ``most`` of them at even distances with the first and the last."""
+    return rows if len(rows) <= most else rows[np.linspace(0, len(rows) - 1, most).round().astype(np.int64)]
+
+
 @dataclass(frozen=True)
 class Model:
     centre: np.ndarray
@@ -89,6 +95,26 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def gradients(p: dict[str, np.ndarray], x: np.ndarray, sizes: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean log loss over bags; ``x`` has the passages of all bags, ``sizes`` how many each bag has."""
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    doc = np.repeat(np.arange(len(y)), sizes)
+    h = np.tanh(x @ p["encode"] + p["encode_bias"])
+    tv, su = np.tanh(h @ p["v"]), _sigmoid(h @ p["u"])
+    logits = (tv * su) @ p["attend"]
+    e = np.exp(logits - np.maximum.reduceat(logits, starts)[doc])
+    a = e / np.add.reduceat(e, starts)[doc]
+    z = np.add.reduceat(a[:, None] * h, starts)
+    err = (_sigmoid(z @ p["out"] + p["bias"]) - y) / len(y)
+    dz = err[:, None] * p["out"]
+    da = (dz[doc] * h).sum(axis=1)
+    dl = a * (da - np.add.reduceat(a * da, starts)[doc])
+    gate = dl[:, None] * p["attend"]
+    dv, du = gate * su * (1 - tv**2), gate * tv * su * (1 - su)
+    dh = (a[:, None] * dz[doc] + dv @ p["v"].T + du @ p["u"].T) * (1 - h**2)
+    return {"encode": x.T @ dh, "encode_bias": dh.sum(axis=0), "v": h.T @ dv, "u": h.T @ du, "attend": (dl[:, None] * tv * su).sum(axis=0), "out": z.T @ err, "bias": err.sum()}
+
+
 def fit(bags: list[np.ndarray], y: np.ndarray, hidden: int = 16, gates: int = 8, epochs: int = 40, rate: float = 0.01, decay: float = 1e-3, batch: int = 128, seed: int = 5) -> Model:
     """Adam on the log loss of document labels; labels weigh as often as they occur."""
     rng = np.random.default_rng(seed)
@@ -117,22 +143,7 @@ def fit(bags: list[np.ndarray], y: np.ndarray, hidden: int = 16, gates: int = 8,
             pick = order[at : at + batch]
             x = np.concatenate([scaled[i] for i in pick])
             sizes = np.array([len(scaled[i]) for i in pick])
-            starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            doc = np.repeat(np.arange(len(pick)), sizes)
-            h = np.tanh(x @ p["encode"] + p["encode_bias"])
-            tv, su = np.tanh(h @ p["v"]), _sigmoid(h @ p["u"])
-            logits = (tv * su) @ p["attend"]
-            e = np.exp(logits - np.maximum.reduceat(logits, starts)[doc])
-            a = e / np.add.reduceat(e, starts)[doc]
-            z = np.add.reduceat(a[:, None] * h, starts)
-            err = (_sigmoid(z @ p["out"] + p["bias"]) - y[pick]) / len(pick)
-            dz = err[:, None] * p["out"]
-            da = (dz[doc] * h).sum(axis=1)
-            dl = a * (da - np.add.reduceat(a * da, starts)[doc])
-            gate = dl[:, None] * p["attend"]
-            dv, du = gate * su * (1 - tv**2), gate * tv * su * (1 - su)
-            dh = (a[:, None] * dz[doc] + dv @ p["v"].T + du @ p["u"].T) * (1 - h**2)
-            grads = {"encode": x.T @ dh, "encode_bias": dh.sum(axis=0), "v": h.T @ dv, "u": h.T @ du, "attend": (dl[:, None] * tv * su).sum(axis=0), "out": z.T @ err, "bias": err.sum()}
+            grads = gradients(p, x, sizes, y[pick])
             turn += 1
             step = rate * (1 - epoch / epochs) ** 0.5
             for k, g in grads.items():
@@ -143,12 +154,12 @@ def fit(bags: list[np.ndarray], y: np.ndarray, hidden: int = 16, gates: int = 8,
     return Model(centre, spread, **{k: (float(v) if k == "bias" else v) for k, v in p.items()})
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, held_out: int = 2, most: int = 2000, id_col: str = "doc_id", text_col: str = "text", **options) -> Model:
-    """Fit on at most ``most`` labelled rows of each label outside fold ``held_out``."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, held_out: int = 2, most: int = 2000, bag: int = 32, id_col: str = "doc_id", text_col: str = "text", **options) -> Model:
+    """Fit on at most ``most`` labelled documents of each label outside fold ``held_out``, and ``bag`` passages of each."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches):
-            bags = [encode_passages(t).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            bags = [spread(encode_passages(t), bag).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(bags, pa.binary()), batch.column(2)], names=["d", "bag", "y"])
 
     sample = labelled_sample(docs, labels, label, folds, held_out, most, id_col, text_col)

@@ -18,16 +18,19 @@ def fold(id_col: str, folds: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(text, label) of at most ``most`` rows of each label, 0 and 1, none of fold ``held_out``.
+    """(d, text, y) of at most ``most`` documents of each label, 0 and 1, none of fold ``held_out``.
 
     Rows are chosen by a hash of their ids, so reruns agree and no order of the
-    table matters. Labels other than 0 and 1 are ignored; of several labels for
-    an id the largest counts. At most 2 * ``most`` ids are broadcast.
+    table matters. Labels other than 0 and 1, and those of ids that ``docs``
+    lacks, are ignored; of several labels for an id the largest counts, of
+    several texts one. At most 2 * ``most`` ids are broadcast.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1) & (fold(id_col, folds) != held_out))
     known = known.groupBy(F.col(id_col).alias("i")).agg(F.max(label).cast("int").alias("y"))
+    known = known.join(docs.select(F.col(id_col).alias("i")), "i", "left_semi")
     chosen = [known.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(most) for y in (0, 1)]
-    return docs.select(F.col(id_col).alias("d"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen[0].unionByName(chosen[1])), F.col("d") == F.col("i")).select("d", "text", "y")
+    rows = docs.select(F.col(id_col).alias("d"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen[0].unionByName(chosen[1])), F.col("d") == F.col("i"))
+    return rows.groupBy("d").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("y").alias("y"))
 
 
 def scored_rows(docs: DataFrame, make: Callable[[], Callable[[str | None], float]], text_col: str, name: str, keep: list[str] | None) -> DataFrame:
