@@ -20,7 +20,13 @@ class Config:
     #: Affected cells up to this many are broadcast; their number is counted first.
     broadcast_cells: int = 100_000
     table_prefix: str = "cube_"
+    #: Folder of the change log below the engine's.
+    log_name: str = "changes"
+    #: Name of the logger that the engine reports to.
+    logger: str = "cubeloom"
+    #: How often a drain takes up a rollup again that another writer committed to meanwhile.
+    commit_attempts: int = 5
 
     def __post_init__(self) -> None:
-        if self.batch_size < 1 or self.buckets < 1:
-            raise ValueError("batch_size and buckets are at least 1")
+        if min(self.batch_size, self.buckets, self.commit_attempts) < 1:
+            raise ValueError("batch_size, buckets and commit_attempts are at least 1")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import time as clock
 from collections.abc import Callable
 from typing import Any
@@ -10,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cubeloom.config import Config
-from cubeloom.errors import ChangeLogOverflowError, CubeError
+from cubeloom.errors import ChangeLogOverflowError, ConcurrentWriteError, CubeError
 from cubeloom.model.definition import Definition, Rollup
 from cubeloom.operators import verify as verification
 from cubeloom.operators.cells import affected_cells
 from cubeloom.operators.query import Query
 from cubeloom.operators.recompute import Recompute
 from cubeloom.plans.joins import JoinPlan
+from cubeloom.plans.keys import Keys
 from cubeloom.plans.projection import Projection
 from cubeloom.registry import Registry
 from cubeloom.sources.catalog import Catalog
@@ -35,7 +37,8 @@ class Engine:
         self.spark, self.catalog, self.folder = spark, catalog, folder.rstrip("/")
         self.config = config or Config()
         self.registry = Registry(catalog)
-        self.log = ChangeLog(spark, f"{self.folder}/changes")
+        self.log = ChangeLog(spark, f"{self.folder}/{self.config.log_name}")
+        self.logger = logging.getLogger(self.config.logger)
         self._stores: dict[str, RollupStore] = {}
 
     # Declarations
@@ -45,6 +48,13 @@ class Engine:
             self.registry.register(r)
         return self
 
+    def bind(self, *rollups: type[Rollup]) -> Engine:
+        """Register classes and let them be read, built and verified through this engine by their own methods."""
+        for r in rollups:
+            self.registry.register(r)
+            r.bound_engine = self
+        return self
+
     def _definition(self, rollup: AnyRollup) -> Definition:
         if isinstance(rollup, str):
             return self.registry.lookup(rollup)
@@ -117,7 +127,7 @@ class Engine:
         late = p.key(d.time or d.tenant) >= F.lit(from_)
         return late & p.around(first=from_) if d.temporal else late
 
-    def backfill(self, rollup: AnyRollup, from_: Any = None, pause: float = 0.0, on_slice: Callable[[Any, int, int], None] | None = None) -> int:
+    def backfill(self, rollup: AnyRollup, from_: Any = None, pause: float = 0.0, on_slice: Callable[[Any, int, int], None] | None = None, group: int | None = None) -> int:
         """Build from history; returns the number of slices rebuilt.
 
         Without ``from_`` the table is replaced whole, so cells whose source rows
@@ -125,30 +135,61 @@ class Engine:
         replaced. Either way in one commit: no reader sees a slice half-built.
         ``on_slice(value, number, of)`` is called for every slice after that,
         ``pause`` seconds apart.
+
+        ``group`` commits so many slices at a time, each after the other: the
+        callback and the pause come between commits, and a build that failed
+        goes on with ``from_`` at the last slice it told of.
         """
         d = self._definition(rollup)
         store, recompute = self.store(d), self._recompute(d)
-        offset = self._log_end()
-        base = store.version() if from_ is not None else store.replaceable()
-        slices = self.slices(d, from_)
+        offset = self.log.end()
+        if group is not None:
+            return self._backfill_groups(d, from_, pause, on_slice, group, offset)
+        name = (d.time or d.tenant).name
         if from_ is None:
-            count = slices.count()
-            recompute.everything(base, offset)
-        else:
+            # The table that was written says which slices there are.
+            written = store.read(recompute.everything(store.replaceable(), offset))
+            return self._told(written.select(name).distinct(), pause, on_slice)
+        base = store.version()
+        fresh = self.projection(d).aggregated(self.plan(d).frame().where(self._from(d, self.projection(d), from_))).persist()
+        try:
             # The list of days or tenants is a small table; it is joined, not listed in the plan.
-            wanted = slices.persist()
-            count = wanted.count()
-            name = (d.time or d.tenant).name
+            wanted = fresh.select(F.col(name).alias("slice")).distinct()
             kept = store.read(base).alias("s").join(wanted, F.col(f"s.{name}") == F.col("slice"), "left_anti")
-            fresh = self.projection(d).aggregated(self.plan(d).frame().where(self._from(d, self.projection(d), from_)))
             # A partial build doesn't account for older changes elsewhere: the log offset stays.
             store.write(kept.unionByName(fresh), base, base.offset if base.built else START)
-            wanted.unpersist()
-        if on_slice is not None:
-            for i, row in enumerate(slices.toLocalIterator(), 1):
-                on_slice(row["slice"], i, count)
-                clock.sleep(pause)
-        return count
+            return self._told(wanted, pause, on_slice)
+        finally:
+            fresh.unpersist()
+
+    def _told(self, slices: DataFrame, pause: float, on_slice: Callable[[Any, int, int], None] | None) -> int:
+        """The number of slices in a one-column frame, each told to ``on_slice`` in order, nulls last."""
+        if on_slice is None:
+            return slices.count()
+        ordered = [r[0] for r in slices.orderBy(F.col(f"`{slices.columns[0]}`").asc_nulls_last()).collect()]  # days or tenants
+        for i, value in enumerate(ordered, 1):
+            on_slice(value, i, len(ordered))
+            clock.sleep(pause)
+        return len(ordered)
+
+    def _backfill_groups(self, d: Definition, from_: Any, pause: float, on_slice: Callable[[Any, int, int], None] | None, group: int, offset: tuple[int, int]) -> int:
+        store, recompute, name = self.store(d), self._recompute(d), (d.time or d.tenant).name
+        wanted = [r["slice"] for r in self.slices(d, from_).collect()]  # days or tenants
+        done = store.version()
+        before = done.offset if done.built else START
+        for at in range(0, len(wanted), group):
+            part = wanted[at : at + group]
+            matches = Keys.listed(part).holds
+            done = recompute.slice(name, matches, done, before)
+            for i, value in enumerate(part, at + 1):
+                if on_slice is not None:
+                    on_slice(value, i, len(wanted))
+            clock.sleep(pause)
+        if from_ is None:
+            # What no slice holds any more goes, and with it the changes logged before the build began are accounted for.
+            known = Keys.listed(wanted).holds
+            store.write(store.read(done).where(F.coalesce(known(F.col(f"`{name}`")), F.lit(False))), done, offset)
+        return len(wanted)
 
     def recompute_cells(self, rollup: AnyRollup, cells: DataFrame) -> int:
         """Rebuild the given cells (columns: the keys); returns how many."""
@@ -187,11 +228,6 @@ class Engine:
             self.catalog.replace(t, frame)
         return logged
 
-    def _log_end(self) -> tuple[int, int]:
-        """An offset behind every entry logged so far."""
-        appends = self.log.appends((0, 0))
-        return (appends[-1].seq, (1 << 62)) if appends else START
-
     def pending(self) -> int:
         return self.log.pending(self._oldest_offset())
 
@@ -214,19 +250,31 @@ class Engine:
         if not claimed:
             return 0
         for d in definitions:
+            self._apply(d, until)
+        return claimed
+
+    def _apply(self, d: Definition, until: tuple[int, int]) -> None:
+        """Bring one rollup up to an offset; if another writer commits meanwhile, take it up from there."""
+        for attempt in range(self.config.commit_attempts):
             store = self.store(d)
             base = store.version()
             if base.offset >= until:
-                continue
+                return
             if not base.built:
                 raise CubeError(f"{d.name} was never built; backfill it before draining")
-            plan = self.plan(d)
-            cells = affected_cells(plan, self.projection(d), self.log, base.offset, until)
-            if cells is None:
-                store.advance(base, until)
-            else:
-                self._recompute(d).cells(cells, base, until)
-        return claimed
+            try:
+                # Rollups that none of the changed tables concerns are not planned at all.
+                concerned = any(d in self.registry.for_table(t) for t in self.log.changed(base.offset, until))
+                cells = affected_cells(self.plan(d), self.projection(d), self.log, base.offset, until) if concerned else None
+                if cells is None:
+                    store.advance(base, until)
+                else:
+                    self._recompute(d).cells(cells, base, until)
+                return
+            except ConcurrentWriteError as e:
+                self.logger.info("%s: %s; reading it again", d.name, e)
+                if attempt + 1 == self.config.commit_attempts:
+                    raise
 
     def drain(self, limit: int | None = None, max_seconds: float | None = None) -> int:
         """Steps until the log is empty or the time is up; at least one. Returns the entries claimed."""

@@ -24,7 +24,7 @@ from typing import Any
 
 from pyspark.sql import types as T
 
-from cubeloom.errors import DefinitionError
+from cubeloom.errors import CubeError, DefinitionError
 from cubeloom.model.path import Path
 
 BUCKETS = ("day",)
@@ -176,9 +176,14 @@ def _snake_plural(name: str) -> str:
 
 
 class Rollup(metaclass=RollupType):
-    """Base of declared rollups; ``definition()`` gives the checked declaration."""
+    """Base of declared rollups; ``definition()`` gives the checked declaration.
+
+    Once ``engine.bind(R)`` was called, ``R.where(...)``, ``R.by(...)`` and the
+    others go through that engine.
+    """
 
     _declared: dict[str, Any] = {}
+    bound_engine: Any = None
 
     @classmethod
     def definition(cls) -> Definition:
@@ -188,6 +193,42 @@ class Rollup(metaclass=RollupType):
             cls._definition = cached
         return cached
 
+    @classmethod
+    def engine(cls) -> Any:
+        if cls.bound_engine is None:
+            raise CubeError(f"{cls.__name__} belongs to no engine yet; call engine.bind({cls.__name__})")
+        return cls.bound_engine
+
+    @classmethod
+    def query(cls) -> Any:
+        return cls.engine().query(cls)
+
+    @classmethod
+    def where(cls, **filters: Any) -> Any:
+        return cls.query().where(**filters)
+
+    for_ = where
+
+    @classmethod
+    def between(cls, *span: Any) -> Any:
+        return cls.query().between(*span)
+
+    @classmethod
+    def by(cls, *names: str, **coarse: str) -> Any:
+        return cls.query().by(*names, **coarse)
+
+    @classmethod
+    def across_tenants(cls) -> Any:
+        return cls.query().across_tenants()
+
+    @classmethod
+    def backfill(cls, **options: Any) -> int:
+        return cls.engine().backfill(cls, **options)
+
+    @classmethod
+    def verify(cls, **options: Any) -> Any:
+        return cls.engine().verify(cls, **options)
+
 
 @dataclass(frozen=True)
 class Definition:

@@ -50,7 +50,15 @@ class Source:
 
     @classmethod
     def parquet(cls, name: str, path: str, pk: str | tuple[str, ...] = "id", **associations) -> Source:
-        return cls(name, lambda spark: spark.read.parquet(path), pk, **associations)
+        """A table whose schema is read once: every further read would open a file for it."""
+        known: list[T.StructType] = []
+
+        def load(spark: SparkSession) -> DataFrame:
+            if not known:
+                known.append(spark.read.parquet(path).schema)
+            return spark.read.schema(known[0]).parquet(path)
+
+        return cls(name, load, pk, **associations)
 
     def row_id(self, columns: list[str]) -> Column:
         """Text that names a row: its key, or a digest of the whole row where there is none."""

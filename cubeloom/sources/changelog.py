@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 from cubeloom.sources.commits import Commits
 
+#: A position behind all entries of an append.
+END = 1 << 62
 OPERATIONS = ("insert", "update", "delete")
 
 
@@ -75,7 +77,7 @@ class ChangeLog:
         """Appends that may hold entries after an offset, oldest first."""
         out = []
         for n in self._commits.numbers():
-            if n >= after[0]:
+            if n > after[0] or n == after[0] and after[1] < END:
                 entry = self._commits.read(n)
                 out.append(Append(n, entry["folder"], entry["tables"]))
         return out
@@ -92,9 +94,26 @@ class ChangeLog:
             rows = rows.where(at <= F.struct(F.lit(until[0]).cast("long").alias("seq"), F.lit(until[1]).cast("long").alias("pos")))
         return rows
 
+    def end(self) -> tuple[int, int]:
+        """An offset behind every entry logged so far."""
+        last = self._commits.numbers()[-1:]
+        return (last[0], END) if last else (0, 0)
+
+    def changed(self, after: tuple[int, int], until: tuple[int, int]) -> set[str]:
+        """Tables that may have entries in (after, until]."""
+        return {t for a in self.appends(after) if a.seq <= until[0] for t in a.tables}
+
     def claim(self, after: tuple[int, int], limit: int, tables: dict[str, T.StructType]) -> tuple[tuple[int, int], int]:
         """(offset of the last, number) of the next ``limit`` entries of any table."""
         appends = self.appends(after)
+        # Commits say how many entries an append has: whole appends are claimed without reading them.
+        whole, at = 0, after
+        for a in appends:
+            if a.seq == after[0] or whole + sum(a.tables.values()) > limit:
+                break
+            whole, at = whole + sum(a.tables.values()), (a.seq, END)
+        if whole or not appends:
+            return at, whole
         frames = []
         for t in sorted({t for a in appends for t in a.tables}):
             schema = tables.get(t)
@@ -112,18 +131,20 @@ class ChangeLog:
             pending = pending.unionByName(f)
         # Only the cut is brought to the driver, never the entries.
         last = pending.orderBy("seq", "pos").limit(limit).agg(F.max(F.struct("seq", "pos")).alias("last"), F.count("*").alias("n")).first()
-        return ((last["last"]["seq"], last["last"]["pos"]), last["n"]) if last["n"] else (after, 0)
+        if last["n"] < limit:
+            return ((appends[-1].seq, END), last["n"]) if last["n"] else (after, 0)
+        return (last["last"]["seq"], last["last"]["pos"]), last["n"]
 
     def pending(self, after: tuple[int, int]) -> int:
         """Entries in appends after an offset; an append claimed in part counts in full."""
         return sum(sum(a.tables.values()) for a in self.appends(after))
 
     def vacuum(self, before: tuple[int, int]) -> int:
-        """Delete data of appends wholly before an offset; their commits stay, so numbers are not used again."""
+        """Delete the data and commits of appends wholly before an offset; the newest commit stays, so numbers are not used again."""
         gone = 0
-        for n in self._commits.numbers():
-            path = f"{self.folder}/data/{self._commits.read(n)['folder']}"
-            if n < before[0] and self._commits.exists(path):
-                self._commits.delete(path)
+        for n in self._commits.numbers()[:-1]:
+            if n < before[0]:
+                self._commits.delete(f"{self.folder}/data/{self._commits.read(n)['folder']}")
+                self._commits.delete(self._commits.file(n))
                 gone += 1
         return gone

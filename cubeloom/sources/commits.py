@@ -29,8 +29,11 @@ class Commits:
         names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
         return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
 
+    def file(self, number: int) -> str:
+        return f"{self.folder}/{number:012d}.json"
+
     def read(self, number: int) -> dict:
-        stream = self._fs.open(self._path(f"{self.folder}/{number:012d}.json"))
+        stream = self._fs.open(self._path(self.file(number)))
         try:
             return json.loads(bytes(stream.readAllBytes()))
         finally:
@@ -42,7 +45,7 @@ class Commits:
         return (numbers[-1], self.read(numbers[-1])) if numbers else (0, {})
 
     def add(self, number: int, entry: dict) -> None:
-        final = self._path(f"{self.folder}/{number:012d}.json")
+        final = self._path(self.file(number))
         draft = self._path(f"{self.folder}/.{number}-{uuid.uuid4().hex}")
         stream = self._fs.create(draft, False)
         stream.write(json.dumps(entry).encode())

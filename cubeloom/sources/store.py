@@ -72,8 +72,9 @@ class RollupStore:
             name = f"v{base.number + 1:012d}-{uuid.uuid4().hex[:8]}"
             path = f"{self.folder}/data/{name}"
             named = rows.select(*[F.col(f"`{f.name}`") for f in self.schema], self.bucket_of().alias(BUCKET))
-            # One task per bucket and write; within it rows are in key order.
-            named.repartition(len(only) if only else self.buckets, BUCKET).sortWithinPartitions(BUCKET, *self.keys).write.partitionBy(BUCKET).parquet(path)
+            # One task per bucket and write, each bucket its own; within it rows are in key order.
+            place = F.col(BUCKET) if only is None else (F.array_position(F.array(*[F.lit(b) for b in only]), F.col(BUCKET)) - 1).cast("int")
+            named.repartitionById(len(only) if only else self.buckets, place).sortWithinPartitions(BUCKET, *self.keys).write.partitionBy(BUCKET).parquet(path)
             for child in self._commits.children(path):
                 if child.startswith(f"{BUCKET}="):
                     buckets[int(child.split("=")[1])] = f"{name}/{child}"
