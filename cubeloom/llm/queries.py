@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import line_dedup as lines
-from . import embedding_dedup, minhash, mixing, packing, quality, secret_scan, staging, token_counts, topk, toxicity
+from . import embedding_dedup, minhash, mixing, oracles, packing, quality, secret_scan, staging, token_counts, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -170,4 +170,4 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": _LINES_SQL, "op5_exact_topk": _TOPK_SQL, "op10_mixing": _MIX_SQL}
+    return {**oracles.oracle_sql(), "op2_line_dedup": _LINES_SQL, "op5_exact_topk": _TOPK_SQL, "op10_mixing": _MIX_SQL}
