@@ -41,8 +41,10 @@ _BLOCK = "block long, longest double, n int, width int, ids binary, cells binary
 
 
 def quantised(m: np.ndarray, scale: float) -> np.ndarray:
-    """floor(scale * x); as long as all fit, in doubles that hold integers exactly."""
-    return np.floor(scale * m)
+    """floor(scale * x), in doubles; what exceeds them ends at the largest."""
+    largest = np.finfo(np.float64).max
+    with np.errstate(over="ignore"):
+        return np.floor(np.clip(scale * m, -largest, largest))
 
 
 def _pack(rows: int, scale: float):
@@ -106,6 +108,8 @@ class TopK:
         slack = 1 - 1e-9
         reach = self.norms * norms[0]
         threshold = np.where(reach > 0, self.bounds * slack / np.where(reach > 0, reach, 1), np.where(self.bounds > 0, 2.0, -1.0))
+        # Lengths beyond doubles leave no threshold: nothing is pruned by them.
+        threshold = np.where(np.isnan(threshold), -1.0, threshold)
         live = np.flatnonzero(threshold <= 1)
         by_coordinate = live[threshold[live] >= COORDINATE_CUT]
         by_length = live[threshold[live] < COORDINATE_CUT]
@@ -149,8 +153,14 @@ def _norms(p: np.ndarray) -> np.ndarray:
     return np.sqrt((p**2).sum(axis=1))
 
 
+def least_length(bounds: np.ndarray, norms: np.ndarray) -> float:
+    """The length below which no candidate reaches the bound of any of these queries; 0 if some query has none yet."""
+    needed = np.divide(bounds * (1 - 1e-9), norms, out=np.zeros(len(bounds)), where=(bounds > 0) & (norms > 0))
+    return float(np.nan_to_num(needed).min(initial=np.inf))
+
+
 def _bound(first: list[tuple], k: int):
-    """Lower bounds of each query's k-th best score from the longest candidates."""
+    """Lower bounds of each query's k-th best score from the longest candidates; ``longest`` becomes the least length that can reach one."""
     longest = [_unpack(*b) for b in first]
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +171,7 @@ def _bound(first: list[tuple], k: int):
                 top = TopK(ids, q, np.full(len(ids), -np.inf), k)
                 for own, p in longest:
                     top.visit(own, p, _norms(p))
-                r["bounds"] = top.bounds.tobytes()
+                r["bounds"], r["longest"] = top.bounds.tobytes(), least_length(top.bounds, top.norms)
             yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
 
     return bound
@@ -230,8 +240,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64
     bounded = stage(asked.mapInArrow(_bound(seeds, k), _BLOCK), "query-bounds")
     # A range of lengths is a team: its bounds are tight, and short ranges prune whole queries.
     side_a = blocks.withColumn("team", F.shiftright("block", 32).cast("int")).withColumn("role", F.lit(0))
-    teams = (blocks.agg(F.max(F.shiftright("block", 32))).first()[0] or 0) + 1
-    side_b = bounded.withColumn("team", F.explode(F.sequence(F.lit(0), F.lit(int(teams) - 1)))).withColumn("role", F.lit(1))
+    # A block of queries visits only ranges whose longest vector can still reach one of its bounds.
+    heights = blocks.groupBy(F.shiftright("block", 32).cast("int").alias("team")).agg(F.max("longest").alias("height")).orderBy("team").collect()  # a row per range
+    largest = float(np.finfo(np.float64).max)
+    listed = ", ".join(f"named_struct('team', {h.team}, 'height', double('{min(h.height, largest)!r}'))" for h in heights)
+    reached = f"transform(filter(array({listed}), x -> x.height >= longest), x -> x.team)" if heights else "array(0)"
+    side_b = bounded.withColumn("team", F.explode(F.expr(reached))).withColumn("role", F.lit(1))
     met = side_a.unionByName(side_b).repartition(ranges, "team").sortWithinPartitions("team", "role")
     found = met.mapInArrow(_search(k), "block long, place int, query_id long, vec_id long, score long")
     best = Window.partitionBy("block", "place").orderBy(F.col("score").desc(), F.col("vec_id"))

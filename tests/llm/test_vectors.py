@@ -219,3 +219,48 @@ def test_pruning_saves_work():
     for at in range(0, 3000, 200):
         top.visit(np.arange(at, at + 200), x[at : at + 200], np.sqrt((x[at : at + 200] ** 2).sum(axis=1)))
     assert top.verified < 0.5 * 50 * 3000
+
+
+def test_query_blocks_visit_only_ranges_that_can_reach_them(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(12)
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(topk, "GROUP", 1)
+    directions = rng.normal(size=(1000, 8))
+    directions /= np.sqrt((directions**2).sum(axis=1))[:, None]
+    lengths = np.geomspace(50, 0.05, 1000)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 7)
+    rows = [(int(i), [float(c) for c in directions[i] * lengths[i]], 0) for i in range(1000)]
+    df = frame(spark, rows)
+    search = topk._search
+
+    def counted(k):
+        run = search(k)
+        folder = str(tmp_path)
+
+        def counting(batches):
+            import os
+            import uuid
+
+            def noted():
+                for batch in batches:
+                    for team, role in zip(batch.column("team").to_pylist(), batch.column("role").to_pylist(), strict=True):
+                        open(os.path.join(folder, f"{role}-{team}-{uuid.uuid4().hex}"), "w").close()
+                    yield batch
+
+            yield from run(noted())
+
+        return counting
+
+    monkeypatch.setattr(topk, "_search", counted)
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in top_k(df, df.where("vec_id % 20 = 0"), k=20).collect())
+    assert got == brute_top(rows, 20)
+    teams = [p.name.split("-")[:2] for p in tmp_path.iterdir()]
+    candidates, asked = ([t for r, t in teams if r == side] for side in "01")
+    assert len(set(candidates)) >= 8 and len(asked) < 0.7 * len(set(candidates)) * max(asked.count(t) for t in set(asked))
+
+
+def test_huge_components(spark):
+    assert np.isfinite(topk.quantised(np.array([[1e308, -1e308, 0.5]]), 64.0)).all()
+    df = spark.createDataFrame([(20, [1e308, 1.0]), (21, [1e308, 2.0]), (22, [-1e308, 0.0])], "vec_id long, embedding array<double>")
+    rows = top_k(df, df.where("vec_id = 20")).collect()
+    assert [(r["rank"], r.vec_id, r.score) for r in rows] == [(1, 21, 2**63 - 1), (2, 22, -(2**63))]
