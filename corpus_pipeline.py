@@ -2,6 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that the caller
 writes as Parquet and rereads as the next stage's documents.
+
+Null and empty texts are never toxic, have no lines to lose, resemble nothing
+and have no words, so mixing takes nothing of them and they end there. Rows with
+a null id pass toxicity, lines and near copies, are mixed by text and source and
+are packed last. Rows that repeat an id are judged each by its own text; equal
+rows of an id are one document for near copies. Columns beyond those of
+``documents`` pass through, whatever they are called, up to packing. Empty
+tables give empty results.
 """
 
 from __future__ import annotations

@@ -2,7 +2,9 @@
 
 A dynamic program over the corpus-wide length histogram chooses the bucket
 boundaries: every text is padded to its bucket's boundary, and no other choice
-of that many boundaries pads less. Batches then fill inside each bucket: as
+of that many histogram cells pads less. Up to EXACT words a length is a cell of
+its own; longer ones share cells, whose upper ends are the boundaries, so there
+the choice is optimal over cells, 0.1 to 0.2 % wide. Batches then fill inside each bucket: as
 all texts of a bucket have one padded length, a batch is a fixed number of
 texts. The histogram has a bounded number of cells whatever the corpus; text
 positions inside a bucket come from ``ranks.running``.
