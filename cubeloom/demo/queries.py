@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cubeloom.config import Config
-from cubeloom.demo.tables import EventDays, GappyBrands, LabelCounts, RegionFlows, Sales, SupplierOrders, catalog
+from cubeloom.demo.tables import EventDays, GappyBrands, LabelCounts, RegionFlows, ReturnedLines, Sales, SupplierOrders, catalog
 from cubeloom.engine import Engine
+from cubeloom.errors import MissingTenantError
 from cubeloom.sources.scratch import shared_folder
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -246,6 +247,68 @@ def labels_by_lang(spark, sf_dir):
     return _engine(spark, sf_dir, LabelCounts).rows(LabelCounts)
 
 
+@_query(
+    """SELECT l_suppkey AS supplier_id, CAST(l_shipdate AS DATE) AS shipped_on, count(*) AS line_count,
+ CAST(sum(CAST(round(l_quantity) AS BIGINT)) AS BIGINT) AS units FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2"""
+)
+def local_filter_and_dates(spark, sf_dir):
+    return _engine(spark, sf_dir, ReturnedLines).rows(ReturnedLines)
+
+
+# Order and results on the driver: each read below is a report of a few groups, numbered as it arrives.
+
+
+@_query(f"SELECT row_number() OVER (ORDER BY brand NULLS LAST) AS place, brand, line_count, units FROM ({_gappy_read('TRUE', 'brand')}) r")
+def read_in_order(spark, sf_dir):
+    rows = _gappy(spark, sf_dir).across_tenants().by("brand").rows()
+    return spark.createDataFrame([(i, r["brand"], r["line_count"], r["units"]) for i, r in enumerate(rows, 1)], "place long, brand string, line_count long, units long")
+
+
+@_query("SELECT row_number() OVER (ORDER BY slice NULLS LAST) AS place, slice FROM (SELECT DISTINCT s_nationkey AS slice FROM lineitem JOIN supplier ON s_suppkey = l_suppkey) r")
+def slices_in_order(spark, sf_dir):
+    slices = _engine(spark, sf_dir, GappyBrands).slices(GappyBrands).collect()
+    return spark.createDataFrame([(i, r.slice) for i, r in enumerate(slices, 1)], "place long, slice int")
+
+
+@_query(f"WITH r AS ({_read('nation_id = 3', 'returnflag, brand')}) SELECT returnflag, brand, revenue_cents, average_unit_price FROM r")
+def read_as_dict(spark, sf_dir):
+    """Rows keyed by both groups."""
+    found = _sales(spark, sf_dir).where(nation_id=3).by("returnflag", "brand").to_dict()
+    rows = [(flag, brand, r["revenue_cents"], r["average_unit_price"]) for (flag, brand), r in found.items()]
+    return spark.createDataFrame(rows, "returnflag string, brand string, revenue_cents long, average_unit_price double")
+
+
+@_query(f"WITH r AS ({_read('nation_id = 3', 'brand')}) SELECT brand, units, average_unit_price FROM r")
+def values_by_name(spark, sf_dir):
+    """A measure asked for by name and a ratio as an attribute, both by group."""
+    read = _sales(spark, sf_dir).where(nation_id=3).by("brand")
+    units, prices = read.value("units"), read.average_unit_price
+    return spark.createDataFrame([(brand, units[brand], price) for brand, price in prices.items()], "brand string, units long, average_unit_price double")
+
+
+@_query("SELECT * FROM (VALUES ('all tenants asked for', FALSE), ('no tenant', TRUE), ('no tenant, as text', TRUE), ('null', TRUE), ('null in a list', TRUE), ('one tenant', FALSE)) v(read, refused)")
+def tenant_guard(spark, sf_dir):
+    """Which reads are refused for want of a tenant."""
+    sales = _sales(spark, sf_dir)
+    reads = {
+        "all tenants asked for": sales.across_tenants().df,
+        "no tenant": sales.by("brand").df,
+        "no tenant, as text": sales.by("brand").sql,
+        "null": lambda: sales.where(nation_id=None).df(),
+        "null in a list": lambda: sales.where(nation_id=[3, None]).df(),
+        "one tenant": sales.where(nation_id=3).df,
+    }
+
+    def refused(read) -> bool:
+        try:
+            read()
+        except MissingTenantError:
+            return True
+        return False
+
+    return spark.createDataFrame([(name, refused(read)) for name, read in reads.items()], "read string, refused boolean")
+
+
 # Building
 
 
@@ -364,6 +427,30 @@ def drain_move_then_delete(spark, sf_dir):
     return engine.rows(Sales)
 
 
+@_query(
+    f"""WITH now AS ({_GAPPY}), before AS ({_GAPPY.replace("FROM lineitem l", f"FROM (SELECT * FROM lineitem WHERE NOT ({_SOME_LINES})) l")})
+SELECT * FROM before WHERE nation_id <> 3 UNION ALL SELECT * FROM now WHERE nation_id = 3"""
+)
+def recompute_one_slice(spark, sf_dir):
+    """Lines arrive unlogged; one tenant is rebuilt, the others stay as they were."""
+    sources = catalog(spark, sf_dir)
+    every_line = sources.frame("lineitem")
+    sources.replace("lineitem", every_line.where(f"NOT ({_SOME_LINES})"))
+    engine = _fresh(spark, sf_dir, GappyBrands, sources=sources)
+    sources.replace("lineitem", every_line)
+    engine.recompute_slice(GappyBrands, 3)
+    return engine.rows(GappyBrands)
+
+
+@_query(SALES)
+def immutable_path_unwatched(spark, sf_dir):
+    """A promise that a brand never changes: when it does, nothing is logged and the cells stay."""
+    engine = _fresh(spark, sf_dir, Sales)
+    engine.mutate(part=engine.catalog.frame("part").withColumn("p_brand", F.lit("Brand#99")))
+    engine.drain()
+    return engine.rows(Sales)
+
+
 @_query(_after(orders=f"SELECT * REPLACE ({_MOVE} AS o_custkey) FROM orders"))
 def drain_stream(spark, sf_dir):
     engine = _fresh(spark, sf_dir, Sales)
@@ -456,6 +543,34 @@ def capture_narrowed(spark, sf_dir):
     return entries.select("row_id", "operation", F.col("previous.o_orderstatus").alias("previous_status"))
 
 
+@_query("SELECT CAST(c_custkey AS VARCHAR) AS row_id, c_custkey % 11 = 0 AS moved FROM customer WHERE c_custkey % 11 = 0 OR c_custkey % 7 = 0")
+def capture_of_two_rollups(spark, sf_dir):
+    """What one rollup watches and what the other does are both logged: customers move, or change their segment."""
+    engine = Engine(spark, catalog(spark, sf_dir), shared_folder(spark, "rollups")).register(Sales, SupplierOrders)
+    customers = engine.catalog.frame("customer")
+    moved = customers.withColumn("c_nationkey", F.expr("CAST(CASE WHEN c_custkey % 11 = 0 THEN c_nationkey + 100 ELSE c_nationkey END AS INT)"))
+    engine.record("customer", customers, moved.withColumn("c_mktsegment", F.expr("CASE WHEN c_custkey % 7 = 0 THEN 'NONE' ELSE c_mktsegment END")))
+    entries = engine.log.entries("customer", engine.catalog.schema("customer"), (0, 0))
+    return entries.select("row_id", (F.col("row_id").cast("long") % 11 == 0).alias("moved"))
+
+
+@_query(
+    f"""SELECT row_number() OVER (ORDER BY nation_id, ordered_on, brand, returnflag) AS place, nation_id, ordered_on, brand, returnflag, kind
+FROM ({_compare()}) r QUALIFY place <= 1000"""
+)
+def report_in_order(spark, sf_dir):
+    """The cells that a report of disagreements lists, which are the first 1000 by key, as it lists them."""
+    listed = _corrupted(spark, sf_dir).verify(Sales).listed
+    rows = [(i, *d.cell.values(), d.kind) for i, d in enumerate(listed, 1)]
+    return spark.createDataFrame(rows, "place long, nation_id int, ordered_on date, brand string, returnflag string, kind string")
+
+
+@_query(f"WITH r AS ({_compare()}) SELECT kind, count(*) AS cells FROM r GROUP BY 1")
+def report_counts(spark, sf_dir):
+    report = _corrupted(spark, sf_dir).verify(Sales)
+    return spark.createDataFrame([(kind, report.count_of(kind)) for kind in ("wrong", "missing", "extra")], "kind string, cells long")
+
+
 def queries() -> dict[str, Builder]:
     return dict(_QUERIES)
 

@@ -20,6 +20,10 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
         parts = session.read.parquet(f"{sf_dir}/part.parquet")
         return parts.withColumn("p_brand", F.nullif("p_brand", F.lit("Brand#11")))
 
+    def shipped(session: SparkSession):
+        lines = session.read.parquet(f"{sf_dir}/lineitem.parquet")
+        return lines.withColumn("l_shipdate", F.col("l_shipdate").cast("date"))
+
     return Catalog(
         spark,
         [
@@ -40,6 +44,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
                     "supplier": BelongsTo("supplier", "l_suppkey"),
                 },
             ),
+            Source("shipments", shipped, ()),
             table("events", "event_id"),
             table("documents", "doc_id"),
             table("labels", (), belongs_to={"document": BelongsTo("documents", "doc_id")}),
@@ -92,6 +97,16 @@ class RegionFlows(Rollup):
     revenue_cents = measure(sum=CENTS, type="bigint")
 
 
+class ReturnedLines(Rollup):
+    """A filter on the fact itself, and days that are dates already."""
+
+    lines = fact("shipments", where={"l_returnflag": "R"})
+    supplier_id = tenant("l_suppkey")
+    shipped_on = time("l_shipdate", bucket="day")
+    line_count = measure(count=True)
+    units = measure(sum=UNITS, type="bigint")
+
+
 class EventDays(Rollup):
     clicks = fact("events")
     event_type = tenant("event_type")

@@ -26,7 +26,7 @@ def test_names():
     assert set(demo.queries()) <= set(entry_module.queries()) and set(entry_module.oracle_sql()) <= set(entry_module.queries())
 
 
-@pytest.mark.parametrize("name", ["by_month", "null_dimension_cell", "two_routes_same_table", "events_day_tz", "drain_parent_move", "verify_three_kinds", "capture_narrowed"])
+@pytest.mark.parametrize("name", ["by_month", "null_dimension_cell", "two_routes_same_table", "events_day_tz", "drain_parent_move", "verify_three_kinds", "capture_narrowed", "local_filter_and_dates", "read_in_order", "read_as_dict", "tenant_guard", "recompute_one_slice", "capture_of_two_rollups", "report_in_order"])
 def test_queries_equal_their_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
