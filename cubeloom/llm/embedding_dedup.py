@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import portions
 from .components import components
 from .staging import stage
 from .vectors import to_matrix
@@ -324,25 +325,30 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
 def audit_recall(vectors: DataFrame, result: DataFrame, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, most: int = 2000) -> float:
     """Share of true links that ``result`` has, over at most ``most`` vectors whose hashed ids are divisible by ``every``.
 
-    The sampled vectors are broadcast and compared with all rows by brute force.
+    The sampled vectors go to all tasks and are compared with all rows by brute
+    force. Rows without an id are left out.
     """
-    picked = vectors.where(F.pmod(F.xxhash64(id_col), F.lit(every)) == 0).select(F.col(id_col).cast("long"), F.col(label_col).cast("string"), F.col(vector_col).cast("array<double>")).orderBy(F.xxhash64(id_col)).limit(most).toArrow()
+    named = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+    picked = named.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).orderBy(F.xxhash64("id")).limit(most).toArrow()
     q, valid = to_matrix(picked.column(2).combine_chunks()) if len(picked) else (np.zeros((0, 1)), np.zeros(0, bool))
     q, ok = unit(np.where(valid[:, None], q, 0))
-    ids, names = np.array(picked.column(0).to_pylist(), dtype=np.int64), np.array(picked.column(1).to_pylist(), dtype=object)
-    usable = valid & ok & np.array([n is not None for n in names], dtype=bool)
+    ids = np.array(picked.column(0).to_pylist(), dtype=np.int64)
+    codes = {name: k for k, name in enumerate(dict.fromkeys(n for n in picked.column(1).to_pylist() if n is not None))}
+    labels = np.array([codes.get(n, -1) for n in picked.column(1).to_pylist()], dtype=np.int64)
+    usable = valid & ok & (labels >= 0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        total = np.zeros(len(ids), dtype=np.int64)
+        for batch in portions(batches, rows=1000):
             m, good = to_matrix(batch.column(2))
             x, there = unit(np.where(good[:, None], m, 0))
             wide = max(x.shape[1], q.shape[1])
             s = np.pad(q, ((0, 0), (0, wide - q.shape[1]))) @ np.pad(x, ((0, 0), (0, wide - x.shape[1]))).T
-            own = np.array(batch.column(1).to_pylist(), dtype=object)
-            hit = (s >= least) & (good & there)[None, :] & usable[:, None] & (names[:, None] == own[None, :]) & (ids[:, None] != batch.column(0).to_numpy()[None, :])
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hit.sum(axis=1).astype(np.int64))], names=["id", "links"])
+            own = np.array([codes.get(n, -2) for n in batch.column(1).to_pylist()], dtype=np.int64)
+            hit = (s >= least) & (good & there)[None, :] & usable[:, None] & (labels[:, None] == own[None, :]) & (ids[:, None] != batch.column(0).to_numpy()[None, :])
+            total += hit.sum(axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["id", "links"])
 
-    named = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(label_col).cast("string"), F.col(vector_col).cast("array<double>"))
     truth = named.mapInArrow(count, "id long, links long").groupBy("id").agg(F.sum("links").alias("true"))
     both = truth.join(result.select(F.col(id_col).cast("long").alias("id"), "n_links"), "id").agg(F.sum("true"), F.sum(F.least("true", "n_links"))).first()
     return 1.0 if not both[0] else both[1] / both[0]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from . import line_dedup as lines
 from . import embedding_dedup, minhash, mixing, oracles, packing, quality, secret_scan, staging, token_counts, topk, toxicity
 
+log = logging.getLogger("cubeloom")
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,7 +29,12 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding_dedup.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+    """Classes of near-equal vectors; the recall of a sample, found by brute force, is logged."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    result = staging.stage(embedding_dedup.near_duplicate_vectors(vectors), "vector-result")
+    recall = embedding_dedup.audit_recall(vectors, result)
+    log.log(logging.INFO if recall >= 0.9 else logging.WARNING, "op3_embedding_dedup: %.5f of the sampled vectors' links were found", recall)
+    return result
 
 
 #: Vocabulary that token counts use by default, beside blank-separated words.

@@ -76,6 +76,15 @@ def test_links_equal_brute_force(spark, monkeypatch, piece):
     assert audit_recall(df, result, every=3) >= 0.97
 
 
+def test_audit_counts_lost_links_and_passes_over_odd_rows(spark):
+    rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.01], 0), (3, [1.0, 0.02], 0), (4, [0.0, 1.0], 0), (5, [1.0, 0.0], 1), (None, [1.0, 0.0], 0), (6, None, 0), (7, [1.0, 0.0], None), (8, [0.0, 0.0], 0)]
+    df = frame(spark, rows)
+    assert audit_recall(df, near_duplicate_vectors(df), every=1) == 1.0
+    lossy = spark.createDataFrame([(1, 2), (2, 1), (3, 0), (4, 0), (5, 0), (6, 0), (7, 0), (8, 0)], "vec_id long, n_links long")
+    assert audit_recall(df, lossy, every=1) == 0.5
+    assert audit_recall(df.limit(0), near_duplicate_vectors(df.limit(0)), every=1) == 1.0
+
+
 def test_links_of_later_shards_count(monkeypatch):
     """A search that misses every pair in the first shard, and only there, loses no link."""
     x, _ = unit(np.array([[1.0, 0.001 * i] for i in range(12)]))
