@@ -1,22 +1,25 @@
 """Near-duplicate embeddings through a robust-pruned flat graph.
 
 1. Equal vectors of a label are one class with a multiplicity.
-2. Centroids are fitted to a bounded sample. A vector joins the shard of its
-   nearest centroid and those of all centroids within an angular margin, so
-   shards overlap where near pairs could be parted; shards never mix labels.
-   Shards above a size are cut into pieces.
-3. Every piece builds a graph: candidates are a node's nearest and some random
-   nodes; robust pruning keeps a candidate unless one already kept is nearer to
-   it by the factor alpha; reverse edges are added.
-4. Adjacency lists of a vector from all its shards are united.
-5. Every vector searches: from the piece's medoids and its own list, greedily
-   towards itself, and through everything within the (slackened) range. Pieces
-   of one shard search each other pairwise.
-6. What the search reaches is verified by its cosine in double precision. A pair
-   counts in the first shard that both vectors share. As a later shard's search
-   may find what the first one's missed, the first shard also compares directly
-   those of its vectors that share a later one. Only counts and local
-   components leave a task, never pairs; components join the shards' stars.
+2. Centroids are fitted to a bounded sample. A vector is at home in the shard
+   of its nearest centroid and visits those whose border it is so near that a
+   linked vector may lie behind it: of a linked pair, one visits the other's
+   home. Shards never mix labels. The homes of a large shard are cut into pieces.
+3. Every piece builds a graph of its homes: candidates are a node's nearest and
+   some random nodes; robust pruning keeps a candidate unless one already kept is
+   nearer to it by the factor alpha; reverse edges are added.
+4. Homes and visitors of the shard search the graph. Entries are the nodes that
+   a bound on a few projected components leaves; without any but itself a vector
+   has no link there. Others search from these, the medoids and their own list,
+   greedily towards themselves, and through everything within the (slackened)
+   range.
+5. What the search reaches is verified by its cosine in double precision, and so
+   are the entries, as the bound passes every link. A pair whose vectors visit
+   each other's home counts in the first one. Only counts and local components
+   leave a task, never pairs; components join the shards' stars.
+
+Vectors are kept as their own bytes and copied to the shards in rounds, each of
+about COPIES_A_ROUND copies of the table, whose shuffle files go before the next.
 
 ``audit_recall`` compares with brute force for a sample of vectors.
 """
@@ -33,21 +36,22 @@ from pyspark.sql import functions as F
 
 from .arrow import portions
 from .components import components
-from .staging import stage
+from .staging import drop, shuffles_freed, stage
 from .vectors import to_matrix
 
 #: Vectors the centroids are fitted to, at most, and the most centroids.
 FIT_ROWS, MOST_CENTROIDS = 8192, 1024
-#: Rows of a shard aimed at, and of a piece at most (in expectation).
-SHARD_ROWS, PIECE_ROWS = 1500, 2048
+#: Homes of a shard aimed at, of a piece at most, and vectors that search a piece in one task at most (in expectation).
+SHARD_ROWS, PIECE_ROWS, ASK_ROWS = 1500, 2048, 65536
+#: Projected components of the bound, and copies of the table that a round shuffles (in expectation).
+LEADING, COPIES_A_ROUND = 16, 1.0
 NEAREST, RANDOM, DEGREE, ALPHA = 48, 8, 24, 1.2
 #: The range is loosened by SLACK times what ``least`` leaves to 1.
 SLACK, BEAM = 2.0, 0.02
 
 
 def margin(least: float) -> float:
-    """The angle of a pair at the threshold: its two vectors' distances to their nearest centroids' rivals sum to
-    at most twice that, so one of them joins the other's shard."""
+    """The angle of a pair at the threshold."""
     return float(np.arccos(np.clip(least, -1, 1))) + 1e-6
 
 
@@ -71,9 +75,28 @@ def fit_centroids(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 3) ->
     return centres
 
 
-def shards_of(x: np.ndarray, centres: np.ndarray, margin: float) -> list[list[int]]:
-    angles = np.arccos(np.clip(x @ centres.T, -1, 1))
-    return [np.flatnonzero(row <= row.min() + margin).tolist() for row in angles]
+def spacing(centres: np.ndarray) -> np.ndarray:
+    """Distances between centroids."""
+    squares = (centres**2).sum(axis=1)
+    return np.sqrt(np.maximum(squares[:, None] + squares[None, :] - 2 * (centres @ centres.T), 0))
+
+
+def shards_of(x: np.ndarray, centres: np.ndarray, margin: float, apart: np.ndarray | None = None) -> list[list[int]]:
+    """Each row's home, then the shards it visits.
+
+    The border of two shards is the plane between their centroids. The distances
+    to it of two vectors at home on either side sum to at most their own, the
+    chord of ``margin``: the nearer one, within half of that, visits the other's home.
+    """
+    apart = spacing(centres) if apart is None else apart
+    near = x @ centres.T
+    home = near.argmax(axis=1)
+    half = np.sin(min(margin, np.pi) / 2)
+    # For centroids that all but coincide the distance is too small to be exact.
+    visits = near[np.arange(len(x)), home][:, None] - near <= half * apart[home] + 1e-7
+    visits[np.arange(len(x)), home] = False
+    rows, columns = np.nonzero(visits)
+    return [[h, *c] for h, c in zip(home.tolist(), (c.tolist() for c in np.split(columns, np.searchsorted(rows, np.arange(1, len(x))))), strict=True)]
 
 
 def build_graph(x: np.ndarray, seed: int = 1) -> np.ndarray:
@@ -82,6 +105,7 @@ def build_graph(x: np.ndarray, seed: int = 1) -> np.ndarray:
     if n < 2:
         return np.full((n, DEGREE), -1, dtype=np.int32)
     rng = np.random.default_rng(seed)
+    x = x.astype(np.float32)
     distance = 1 - x @ x.T
     np.fill_diagonal(distance, np.inf)
     near = min(NEAREST, n - 1)
@@ -178,74 +202,92 @@ def _local_components(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.
 
 
 def _build(key, pdf):
-    pdf = pdf.sort_values("rep")
+    pdf = pdf.sort_values("rep", kind="stable")
     x, reps = np.stack(pdf["x"].to_numpy()), pdf["rep"].to_numpy()
     lists = with_reverse(build_graph(x))
     return pd.DataFrame({"rep": reps, "near": [reps[a] for a in lists]})
 
 
-def _shared_later(x: np.ndarray, nodes: np.ndarray, asks: np.ndarray, clusters: np.ndarray, cluster: int, least: float) -> Iterator[np.ndarray]:
-    """Codes of the pairs of cosine >= least between ``nodes`` and ``asks`` that share a shard after ``cluster``.
+def _projection(width: int) -> np.ndarray:
+    """Orthonormal columns, the same in every task; a pair's distance never grows by it."""
+    return np.linalg.qr(np.random.default_rng(7).normal(size=(width, min(LEADING, width))))[0]
 
-    Such a pair counts here, if here first, whichever of its shards finds it.
-    """
-    known = {c: k for k, c in enumerate(sorted({c for row in clusters for c in row if c > cluster}))}
-    later = np.zeros((len(x), len(known)), dtype=np.float32)
-    for k, row in enumerate(clusters):
-        later[k, [known[c] for c in row if c > cluster]] = 1
-    more = later.any(axis=1)
-    asks, nodes = asks[more[asks]], nodes[more[nodes]]
-    for at in range(0, len(asks), 256):
-        part = asks[at : at + 256]
-        sims = x[part] @ x[nodes].T
-        # At the very threshold the search's own sum decides.
-        for i, j in zip(*np.nonzero(np.abs(sims - least) < 1e-12), strict=True):
-            sims[i, j] = np.einsum("ij,ij->i", x[part[i : i + 1]], x[nodes[j : j + 1]])[0]
-        left, right = np.nonzero((sims >= least) & (later[part] @ later[nodes].T > 0))
-        left, right = part[left], nodes[right]
-        left, right = left[left != right], right[left != right]
-        yield np.unique(np.minimum(left, right) * len(x) + np.maximum(left, right))
+
+def _entries(nodes: np.ndarray, asks: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(asks, nodes): the pairs whose projections are near enough for a cosine >= least."""
+    turn = _projection(nodes.shape[1])
+    a, b = ((m @ turn).astype(np.float32) for m in (asks, nodes))
+    ends = np.concatenate([-2 * b, np.ones((len(b), 1), np.float32), (b**2).sum(axis=1)[:, None]], axis=1).T
+    most = 2 - 2 * least + 1e-5
+    for at in range(0, len(a), 256):
+        part = a[at : at + 256]
+        squares = np.concatenate([part, (part**2).sum(axis=1)[:, None], np.ones((len(part), 1), np.float32)], axis=1) @ ends
+        some = np.flatnonzero(squares.min(axis=1) <= most)
+        rows, columns = np.nonzero(squares[some] <= most)
+        yield at + some[rows], columns
+
+
+def _counted_before(a: np.ndarray, b: np.ndarray, cluster: int, clusters: np.ndarray) -> np.ndarray:
+    """Whether a pair counts in an earlier shard: the home of one, which the other visits."""
+    rows = np.unique(np.concatenate([a, b]))
+    lists = [np.asarray(clusters[k], dtype=np.int64) for k in rows]
+    home = np.array([c[0] for c in lists])
+    there = np.repeat(rows << 32, [len(c) for c in lists]) + np.concatenate(lists)
+    ha, hb = home[np.searchsorted(rows, a)], home[np.searchsorted(rows, b)]
+    return ((ha < cluster) & np.isin((b << 32) + ha, there)) | ((hb < cluster) & np.isin((a << 32) + hb, there))
 
 
 def _searcher(least: float):
+    """Links and local components that piece ``second`` of a shard finds in piece ``first``. A row's ``clusters`` begin with its home."""
+
     def search(key, pdf):
         cluster, first, second = key[1], key[2], key[3]
         pdf = pdf.sort_values(["piece", "rep"])
         same = first == second
-        reps, weight = pdf["rep"].to_numpy(), pdf["copies"].to_numpy()
+        reps, weight, clusters = pdf["rep"].to_numpy(), pdf["copies"].to_numpy(), pdf["clusters"].to_numpy()
         x = np.stack(pdf["x"].to_numpy())
         nodes = np.flatnonzero(pdf["piece"].to_numpy() == first)
         asks = nodes if same else np.flatnonzero(pdf["piece"].to_numpy() == second)
-        place = {int(r): k for k, r in enumerate(reps[nodes])}
-        united = [np.array(sorted(place[r] for r in map(int, near) if r in place), dtype=np.int64) for near in pdf["near"].iloc[nodes]]
-        # A query that isn't a node of the graph has no list to start from, so it gets more entries.
-        entry = np.array(medoids(x[nodes], 3 if same else 47) if len(nodes) else [], dtype=np.int64)
-        starts = [np.append(entry, k) if same else entry for k in range(len(asks))]
-        # A pair counts in the first shard both are in; membership bits over the shards of these rows.
-        known = {c: k for k, c in enumerate(sorted({c for row in pdf["clusters"] for c in row if c < cluster}))}
-        earlier = np.zeros((len(reps), max(1, len(known))), dtype=bool)
-        for k, row in enumerate(pdf["clusters"]):
-            for c in row:
-                if c < cluster:
-                    earlier[k, known[c]] = True
         links = np.zeros(len(reps), dtype=np.int64)
         pairs = []
-        if len(nodes) and len(asks):
-            hits: list[np.ndarray] = []
-            for q, found in range_search(x[nodes], united, x[asks], starts, least):
-                a = asks[q]
-                b = nodes[found]
-                hits.append(np.minimum(a, b[b != a]) * len(reps) + np.maximum(a, b[b != a]))
-                if len(hits) > 500:
-                    hits = [np.unique(np.concatenate(hits))]
-            hits += _shared_later(x, nodes, asks, pdf["clusters"].to_numpy(), cluster, least)
-            codes = np.unique(np.concatenate(hits)) if hits else np.zeros(0, np.int64)
-            for at in range(0, len(codes), 100_000):
-                a, b = codes[at : at + 100_000] // len(reps), codes[at : at + 100_000] % len(reps)
-                pairs.append((a, b))
-                new = ~(earlier[a] & earlier[b]).any(axis=1)
-                np.add.at(links, a[new], weight[b[new]])
-                np.add.at(links, b[new], weight[a[new]])
+        hits: list[np.ndarray] = []
+        medoid = united = None
+
+        def note(a, b):
+            a, b = a[a != b], b[a != b]
+            hits.append(np.minimum(a, b) * len(reps) + np.maximum(a, b))
+            if len(hits) > 500:
+                hits[:] = [np.unique(np.concatenate(hits))]
+
+        for asked, entered in _entries(x[nodes], x[asks], least) if len(nodes) and len(asks) else ():
+            other = asks[asked] != nodes[entered]
+            asked, entered = asked[other], entered[other]
+            if not len(asked):
+                continue
+            if medoid is None:
+                # Nodes are sorted by rep.
+                lists = [np.asarray(near) for near in pdf["near"].iloc[nodes]]
+                flat = np.searchsorted(reps[nodes], np.concatenate(lists))
+                united = np.split(flat, np.cumsum([len(near) for near in lists])[:-1])
+                medoid = np.array(medoids(x[nodes]), dtype=np.int64)
+            who, starts = np.unique(asked, return_index=True)
+            # At most 256 entries start a search; all are verified.
+            entry = [np.concatenate([medoid, e[:256], [k] if same else []]).astype(np.int64) for k, e in zip(who, np.split(entered, starts[1:]), strict=True)]
+            for q, found in range_search(x[nodes], united, x[asks[who]], entry, least):
+                note(np.full(len(found), asks[who[q]]), nodes[found])
+            for at in range(0, len(asked), 50_000):
+                a, b = asks[asked[at : at + 50_000]], nodes[entered[at : at + 50_000]]
+                ok = np.einsum("ij,ij->i", x[a], x[b]) >= least
+                note(a[ok], b[ok])
+        codes = np.unique(np.concatenate(hits)) if hits else np.zeros(0, np.int64)
+        if not len(codes):
+            return pd.DataFrame({"rep": reps, "links": links, "low": reps})
+        for at in range(0, len(codes), 100_000):
+            a, b = codes[at : at + 100_000] // len(reps), codes[at : at + 100_000] % len(reps)
+            pairs.append((a, b))
+            new = ~_counted_before(a, b, cluster, clusters)
+            np.add.at(links, a[new], weight[b[new]])
+            np.add.at(links, b[new], weight[a[new]])
         label = _local_components(len(reps), pairs)
         lowest = pd.Series(reps).groupby(label).transform("min").to_numpy()
         return pd.DataFrame({"rep": reps, "links": links, "low": lowest})
@@ -253,6 +295,31 @@ def _searcher(least: float):
     return search
 
 
+def _meeting(least: float, number: str):
+    """The homes of a piece, and those who search it: ``asks`` marks visitors and homes of later pieces."""
+    search = _searcher(least)
+
+    def meet(key, pdf):
+        _, cluster, first, part = key
+        m = np.frombuffer(b"".join(pdf["x"]), dtype=number).reshape(len(pdf), -1).astype(np.float64)
+        asks = pdf["asks"].to_numpy()
+        pdf = pdf.assign(
+            x=list(unit(m)[0]), piece=np.where(asks, -1, first), clusters=pd.Series([[h] if a else c for h, a, c in zip(pdf["home"], asks, pdf["clusters"], strict=True)], index=pdf.index, dtype=object)
+        )
+        nodes = pdf[~asks].sort_values("rep", kind="stable")
+        found = []
+        if len(nodes):
+            nodes["near"] = _build(key, nodes)["near"].to_numpy()
+            if part == 0:
+                found.append(search((key[0], cluster, first, first), nodes))
+            if asks.any():
+                found.append(search((key[0], cluster, first, -1), pd.concat([nodes, pdf[asks]])))
+        out = pd.concat(found) if found else pd.DataFrame({"rep": [], "links": [], "low": []}, dtype="int64")
+        return out[(out["links"] > 0) | (out["low"] != out["rep"])]
+
+    return meet
+
+
 def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98) -> DataFrame:
     """(id, n_links, component_id, kept), one row per row of ``vectors``.
 
@@ -264,7 +331,13 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     take no part, with a null component, and are kept. An empty table gives an
     empty result.
     """
+    with shuffles_freed(vectors.sparkSession):
+        return _near_duplicate_vectors(vectors, id_col, vector_col, label_col, least)
+
+
+def _near_duplicate_vectors(vectors: DataFrame, id_col: str, vector_col: str, label_col: str, least: float) -> DataFrame:
     spark = vectors.sparkSession
+    number = "<f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"
     kind = vectors.schema[id_col].dataType.simpleString()
     label = F.col(label_col).cast("string")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), label.alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -272,48 +345,66 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     whole = ~F.exists("v", lambda x: x.isNull())
     rows = rows.select("id", "label", "v", F.when(whole, F.xxhash64("v")).alias("h1"), F.when(whole, F.xxhash64(F.lit(1), F.col("v"))).alias("h2"))
 
-    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Vectors that take part, as the bytes of their components."""
+        for batch in portions(batches, rows=2000):
             m, valid = to_matrix(batch.column(1))
-            x, ok = unit(np.where(valid[:, None], m, 0))
-            keep = pa.array(valid & ok)
-            column = pa.array(list(x), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in (batch.column(0), column, batch.column(2), batch.column(3), batch.column(4))], names=["label", "x", "h1", "h2", "id"])
-
-    drawn = rows.where("id is not null and label is not null and h1 is not null").select("label", "v", "h1", "h2", "id").mapInArrow(units, "label string, x array<double>, h1 long, h2 long, id long")
+            sizes = np.diff(batch.column(1).offsets.to_numpy())
+            ok = valid & (m != 0).any(axis=1)
+            raw = m.astype(number)
+            column = pa.array([raw[k, : sizes[k]].tobytes() for k in np.flatnonzero(ok)], pa.binary())
+            keep = pa.array(ok)
+            label, h1, h2, ids = (batch.column(k).filter(keep) for k in (0, 2, 3, 4))
+            yield pa.RecordBatch.from_arrays([label, column, h1, h2, ids], names=["label", "x", "h1", "h2", "id"])
+
+    drawn = rows.where("id is not null and label is not null and h1 is not null").select("label", "v", "h1", "h2", "id").mapInArrow(bounded, "label string, x binary, h1 long, h2 long, id long")
     classes = stage(drawn.groupBy("label", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("x").alias("x")), "vector-classes")
-    shape = classes.agg(F.count("*").alias("n"), F.approx_count_distinct("label").alias("labels"), F.max(F.size("x")).alias("width")).first()
+    shape = classes.agg(F.count("*").alias("n"), F.approx_count_distinct("label").alias("labels"), F.max(F.octet_length("x")).alias("bytes")).first()
     centroids = min(MOST_CENTROIDS, max(1, round(shape.n / max(1, shape.labels) / SHARD_ROWS)))
     sample = classes.select("x", "h1").orderBy("h1").limit(FIT_ROWS).select("x").toArrow().column("x").to_pylist()
-    width = shape.width or 1
-    fitted = fit_centroids(np.array([v + [0.0] * (width - len(v)) for v in sample]), centroids) if sample else np.ones((1, 1))
+    width = shape.bytes or 1
+
+    def read(column: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(v.ljust(width, b"\0") for v in column), dtype=number).reshape(len(column), -1).astype(np.float64)
+
+    fitted = fit_centroids(unit(read(sample))[0], centroids) if sample else np.ones((1, 1))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            m, _ = to_matrix(batch.column(0))
-            x = np.pad(m, ((0, 0), (0, width - m.shape[1])))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(x), pa.list_(pa.float64())), *batch.columns[1:], pa.array(shards_of(x, fitted, margin(least)), pa.list_(pa.int32()))], names=["x", "label", "rep", "copies", "clusters"]
-            )
-
-    placed = stage(classes.select("x", "label", "rep", "copies").mapInArrow(assign, "x array<double>, label string, rep long, copies long, clusters array<int>"), "vector-shards")
-    member = placed.withColumn("cluster", F.explode("clusters"))
-    sizes = stage(member.groupBy("label", "cluster").agg(F.ceil(F.count("*") / PIECE_ROWS).cast("int").alias("pieces")), "shard-sizes")
-    member = member.join(sizes, ["label", "cluster"]).withColumn("piece", F.pmod(F.xxhash64("rep"), F.col("pieces")).cast("int"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    built = member.select("label", "cluster", "piece", "rep", "x").repartition(parts, "label", "cluster", "piece").groupBy("label", "cluster", "piece").applyInPandas(_build, "rep long, near array<long>")
-    united = stage(built.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "adjacency")
-    # Pieces meet pairwise: a row goes to every pair that has its piece.
-    other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other")
-    met = member.join(united, "rep").select("label", "cluster", "piece", "rep", "copies", "clusters", "x", "near", other)
-    met = met.select("*", F.least("piece", "other").alias("p1"), F.greatest("piece", "other").alias("p2")).drop("other")
-    found = stage(
-        met.repartition(parts, "label", "cluster", "p1", "p2").groupBy("label", "cluster", "p1", "p2").applyInPandas(_searcher(least), "rep long, links long, low long"),
-        "vector-links",
-    )
+        apart = spacing(fitted)
+        for batch in portions(batches, rows=500):
+            column = batch.column(0).to_pylist()
+            shards = shards_of(unit(read(column))[0], fitted, margin(least), apart)
+            yield pa.RecordBatch.from_arrays([pa.array([v.ljust(width, b"\0") for v in column], pa.binary()), *batch.columns[1:], pa.array(shards, pa.list_(pa.int32()))], names=["x", "label", "h1", "h2", "rep", "copies", "clusters"])
+
+    placed = stage(classes.select("x", "label", "h1", "h2", "rep", "copies").mapInArrow(assign, "x binary, label string, h1 long, h2 long, rep long, copies long, clusters array<int>"), "vector-shards")
+    drop(classes)
+    sizes = placed.select("label", F.posexplode("clusters").alias("place", "cluster")).groupBy("label", "cluster").agg(F.count_if(F.col("place") == 0).alias("homes"), F.count("*").alias("all"))
+    cut = sizes.select("label", "cluster", F.ceil(F.col("homes") / PIECE_ROWS).cast("int").alias("pieces"), F.ceil(F.col("all") / ASK_ROWS).cast("int").alias("parts"))
+    # Shards that stay whole need no row here, so the table is small beside the vectors.
+    cut = stage(cut.where("pieces > 1 or parts > 1"), "shard-sizes").hint("broadcast")
+    places = placed.agg(F.sum(F.size("clusters"))).first()[0] or 0
+    rounds = max(1, int(np.ceil(places / max(1, shape.n) / COPIES_A_ROUND)))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shape_out = "rep long, links long, low long"
+    found = None
+    for turn in range(rounds):
+        own = F.filter("clusters", lambda c: F.pmod(F.xxhash64("label", c), F.lit(rounds)) == turn)  # noqa: B023
+        member = placed.select("label", "rep", "copies", "x", "clusters", F.explode(own).alias("cluster")).join(cut, ["label", "cluster"], "left")
+        member = member.select("label", "cluster", "rep", "copies", "x", "clusters", F.col("clusters")[0].alias("home"), F.greatest(F.lit(1), F.coalesce("pieces", F.lit(1))).alias("pieces"), F.greatest(F.lit(1), F.coalesce("parts", F.lit(1))).alias("parts"))
+        member = member.withColumns({"at_home": F.col("home") == F.col("cluster"), "piece": F.pmod(F.xxhash64("rep"), F.col("pieces")).cast("int"), "part": F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("parts")).cast("int")})
+        # A piece's homes go to all parts of those who search it; these are its visitors and the homes of later pieces.
+        as_node = F.transform(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.col("at_home")), lambda k: F.struct(F.col("piece").alias("first"), k.alias("part"), F.lit(False).alias("asks")))
+        as_ask = F.transform(F.filter(F.sequence(F.lit(0), F.col("pieces") - 1), lambda k: ~F.col("at_home") | (k < F.col("piece"))), lambda k: F.struct(k.alias("first"), F.col("part").alias("part"), F.lit(True).alias("asks")))
+        met = member.withColumn("to", F.explode(F.concat(as_node, as_ask))).select(
+            "label", "cluster", F.col("to.first").alias("first"), F.col("to.part").alias("part"), F.col("to.asks").alias("asks"), "rep", "copies", "x", "home", F.when(~F.col("to.asks"), F.col("clusters")).alias("clusters")
+        )
+        met = met.repartition(partitions, "label", "cluster", "first", "part").groupBy("label", "cluster", "first", "part").applyInPandas(_meeting(least, number), shape_out)
+        part = stage(met, "vector-links")
+        found = part if found is None else found.unionByName(part)
     labels = components(found.where("rep != low").select(F.col("rep").alias("u"), F.col("low").alias("v")).distinct())
     linked = found.groupBy("rep").agg(F.sum("links").alias("links")).join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    known = stage(classes.select("label", "h1", "h2", "rep", "copies").join(linked, "rep", "left"), "vector-components")
+    known = stage(placed.select("label", "h1", "h2", "rep", "copies").join(linked, "rep", "left"), "vector-components")
+    drop(placed)
     known = known.select(F.struct("label", "h1", "h2", "rep", "copies", "links", "component").alias("k"))
     slim = rows.select("id", "label", "h1", "h2")
     joined = slim.join(known, (F.col("label") == F.col("k.label")) & (F.col("h1") == F.col("k.h1")) & (F.col("h2") == F.col("k.h2")) & F.col("id").isNotNull(), "left")

@@ -7,8 +7,10 @@ names none is refused, because executors there don't share local disks.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,6 +59,27 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query go when it ends, not when the driver's garbage is collected. For tables that are staged: a later action on the same frame starts anew."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a staged table that nothing reads any more."""
+    sc = df.sparkSession.sparkContext
+    hadoop_path = sc._jvm.org.apache.hadoop.fs.Path
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        p = hadoop_path(folder)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def begin(spark: SparkSession) -> None:
     """From here on, ``clear`` may delete what is staged."""
     app = spark.sparkContext.applicationId

@@ -1,11 +1,13 @@
 import math
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import pytest
 
-from cubeloom.llm import embedding_dedup, topk
+from cubeloom.llm import embedding_dedup, staging, topk
 from cubeloom.llm.embedding_dedup import audit_recall, build_graph, near_duplicate_vectors, range_search, unit, with_reverse
 from cubeloom.llm.topk import exact_products, top_k
 
@@ -120,6 +122,55 @@ def test_batches_of_unlike_widths(spark, monkeypatch):
     assert got == brute_links([(i, v + [0.0] * (5 - len(v)), lab) for i, v, lab in rows])
 
 
+def test_links_across_shards_pieces_parts_and_rounds_are_exact(spark, monkeypatch):
+    for name, value in {"SHARD_ROWS": 30, "PIECE_ROWS": 20, "ASK_ROWS": 50, "COPIES_A_ROUND": 2.0}.items():
+        monkeypatch.setattr(embedding_dedup, name, value)
+    rows = vectors(6, n_groups=6, size=30, singles=120, d=8)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicate_vectors(frame(spark, rows)).collect()}
+    assert got == brute_links(rows)
+
+
+def test_of_a_linked_pair_one_visits_the_others_home():
+    rng = np.random.default_rng(3)
+    x = unit(rng.normal(size=(3000, 64)))[0]
+    x = np.concatenate([x, unit(x + 0.19 * unit(rng.normal(size=x.shape))[0])[0]])
+    centres = embedding_dedup.fit_centroids(x[:2000], 60)
+    shards = embedding_dedup.shards_of(x, centres, embedding_dedup.margin(0.98))
+    linked = [(a, a + 3000) for a in range(3000) if x[a] @ x[a + 3000] >= 0.98]
+    assert len(linked) > 2000 and sum(shards[a][0] != shards[b][0] for a, b in linked) > 100
+    assert all(shards[a][0] in shards[b] or shards[b][0] in shards[a] for a, b in linked)
+    # By the angle to the nearest centroid alone a vector went to 14 shards.
+    assert np.mean([len(s) for s in shards]) < 10
+
+
+def test_disk_stays_near_the_input(spark, monkeypatch, tmp_path):
+    """Vectors without a direction in common, many shards: what is on disk after each stage, its copies' shuffles among it."""
+    monkeypatch.setattr(embedding_dedup, "SHARD_ROWS", 40)
+    x = unit(np.random.default_rng(8).normal(size=(4000, 64)))[0].astype(np.float32)
+    spark.createDataFrame(pd.DataFrame({"vec_id": range(4000), "embedding": x.tolist(), "label": 0}), "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/in")
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    folder = f"{staging.shared_dir(spark)}/{spark.sparkContext.applicationId}"
+
+    def used():
+        own = sum(f.stat().st_size for f in Path(folder).rglob("*.parquet"))
+        files = blocks.getAllFiles()
+        return own + sum(files.apply(k).length() for k in range(files.size()))
+
+    stage, floor, seen = embedding_dedup.stage, used(), []
+
+    def measured(df, name):
+        out = stage(df, name)
+        for _ in range(20):  # files go in the background
+            seen.append(used() - floor)
+            time.sleep(0.1)
+        seen[-20:] = [min(seen[-20:])]
+        return out
+
+    monkeypatch.setattr(embedding_dedup, "stage", measured)
+    assert near_duplicate_vectors(spark.read.parquet(f"{tmp_path}/in")).count() == 4000
+    assert max(seen) < 4 * sum(f.stat().st_size for f in (tmp_path / "in").rglob("*.parquet"))
+
+
 ODD = [
     (1, [1.0, 0.0], 1),
     (2, [2.0, 0.0], 1),
