@@ -301,8 +301,16 @@ def _meeting(least: float, number: str):
 
     def meet(key, pdf):
         _, cluster, first, part = key
-        m = np.frombuffer(b"".join(pdf["x"]), dtype=number).reshape(len(pdf), -1).astype(np.float64)
         asks = pdf["asks"].to_numpy()
+        raw = np.frombuffer(b"".join(pdf["x"]), dtype=number).reshape(len(pdf), -1)
+        # Those without an entry find nothing; most visitors go here.
+        homes = unit(raw[~asks].astype(np.float64))[0]
+        stay = ~asks
+        for at in range(0, len(raw) if len(homes) and asks.any() else 0, 4096):
+            own = at + np.flatnonzero(asks[at : at + 4096])
+            for asked, _ in _entries(homes, unit(raw[own].astype(np.float64))[0], least):
+                stay[own[asked]] = True
+        pdf, asks, m = pdf[stay], asks[stay], raw[stay].astype(np.float64)
         pdf = pdf.assign(
             x=list(unit(m)[0]), piece=np.where(asks, -1, first), clusters=pd.Series([[h] if a else c for h, a, c in zip(pdf["home"], asks, pdf["clusters"], strict=True)], index=pdf.index, dtype=object)
         )
